@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op2_token_files": "tokenfile",
+    "op7_packing": "packing",
     "op9_simhash": "simhash",
 }
 
