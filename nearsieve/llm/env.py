@@ -54,7 +54,7 @@ def write_whole(uri: str, chunks: Iterable[bytes], attempt: str) -> int:
     system, path = open_fs(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part, size = f"{path}.{attempt}.tmp", 0
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)

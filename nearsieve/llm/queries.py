@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from nearsieve.llm import warc
+
 _WHERE = {
+    "op1_decontaminate": "decontaminate",
     "op2_token_files": "tokenfile",
     "op7_packing": "packing",
+    "op8_warc": "warc",
     "op9_simhash": "simhash",
 }
 
@@ -19,4 +23,4 @@ def _query(name: str, module: str):
 
 
 QUERIES = {name: _query(name, module) for name, module in _WHERE.items()}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_warc": warc.OP8_SQL}
