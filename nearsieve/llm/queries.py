@@ -13,6 +13,7 @@ _WHERE = {
     "op7_packing": "packing",
     "op8_warc": "warc",
     "op9_simhash": "simhash",
+    "op10_toxicity": "toxicity",
 }
 
 

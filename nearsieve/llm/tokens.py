@@ -19,6 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_BESIDE = re.compile(r" \s|\s ")
 _KEPT, _LONGEST = 600_000, 64
 
 # Fixed values of the two public tokenizers: how they split a text, and the
@@ -30,6 +31,22 @@ _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+class _Known(dict):
+    """Ids as bytes by key, computed where missing; emptied when it is full."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= _KEPT:
+            self.clear()
+        found = self.ids(key)
+        if len(key) <= _LONGEST:
+            self[key] = found
+        return found
+
+
 class Encoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -40,39 +57,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.spaced = spaced
-        self.known: dict[str, array] = {}
-        self.pieces = regex.compile(_BYTE_SPLIT if spaced else _WORD_SPLIT).findall
-
-    def _chunk(self, chunk: str) -> array:
-        out = array("I")
-        for piece in self.pieces(chunk if self.spaced else chunk.lower()):
-            out.extend([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))])
-        return out
-
-    def _whole(self, text: str) -> array:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        tokenize, split = self.tokenizer.model.tokenize, regex.compile(_BYTE_SPLIT if spaced else _WORD_SPLIT).findall
+        merged = _Known(lambda piece: array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]).tobytes())
+        self.known = _Known(lambda chunk: b"".join(map(merged.__getitem__, split(chunk if spaced else chunk.lower()))))
+        self.after_space = _Known(lambda word: b"".join(map(merged.__getitem__, split(" " + word))))
 
     def ids(self, text: str | None) -> array:
         out = array("I")
         if not text:
             return out
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return self._whole(text)
-        chunks = _SPACED.findall(text) if self.spaced else text.split()
-        known = self.known
-        if len(known) > _KEPT:
-            known.clear()
-        fresh = {c for c in chunks if c not in known}
-        for c in fresh:
-            known[c] = self._chunk(c)
-        extend = out.extend
-        for c in chunks:
-            extend(known[c])
-        for c in fresh:
-            if len(c) > _LONGEST:
-                del known[c]
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not self.spaced:
+            out.frombytes(b"".join(map(self.known.__getitem__, text.split())))
+        elif _BESIDE.search(text):
+            out.frombytes(b"".join(map(self.known.__getitem__, _SPACED.findall(text))))
+        else:  # each space stands alone, and so begins a piece
+            first, *rest = text.split(" ")
+            out.frombytes(self.known[first] + b"".join(map(self.after_space.__getitem__, rest)))
         return out
 
 
