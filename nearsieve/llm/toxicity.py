@@ -95,13 +95,15 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     labels = np.asarray(labels, np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
     words = Words(pa.array(texts, pa.string()))
-    if not 0 < share < 1 or not len(words.start):
+    if not 0 < share < 1 or not (labels[words.row] == 0).any():
         prior = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(0, np.uint64), Network(0), (0.0, 0.0, 0.0, float(np.log(prior / (1 - prior)))))
     r = np.random.default_rng(seed)
     held = np.arange(len(labels)) % 5 == 4
     if not (0 < labels[held].sum() < held.sum()) or not (0 < labels[~held].sum() < (~held).sum()):
         held[:] = False
+    if not (labels[words.row[~held[words.row]]] == 0).any():
+        held[:] = False
     # words by the number of documents that have them, ties by hash
     pairs = np.unique(np.stack([words.hash, words.row.astype(np.uint64)]), axis=1)
     hashes, begin, count = np.unique(pairs[0], return_index=True, return_counts=True)
@@ -122,6 +124,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     text = distinct(words, vocabulary)
     net = Network(len(vocabulary))
     adam = Adam(net)
+    clean = np.flatnonzero((labels[words.row] == 0) & ~held[words.row])
     y_row, used = labels[row] > 0, (~held & trusted)[row]
     for turn in range(ROUNDS):
         logit = guess if turn == 0 else net.logits(text, where)
@@ -140,6 +143,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
             for i in range(0, len(shuffled), BATCH):
                 part = shuffled[i : i + BATCH]
                 w = where[chosen[part]]
+                # half of the other words of a toxic window are exchanged for words of clean texts
+                swap = (target[part] > 0)[:, None] & (w >= 0) & (own[w] < FAVOURED) & (r.random(w.shape) < 0.5)
+                w = np.where(swap, clean[r.integers(0, len(clean), w.shape)], w)
                 sub, flat = np.unique(text.at[w[w >= 0]], return_inverse=True)
                 local = np.full(w.shape, -1)
                 local[w >= 0] = flat
