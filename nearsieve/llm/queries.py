@@ -9,6 +9,7 @@ from nearsieve.llm import warc
 _WHERE = {
     "op1_decontaminate": "decontaminate",
     "op2_token_files": "tokenfile",
+    "op3_url_filter": "url_filter",
     "op5_pii": "pii",
     "op7_packing": "packing",
     "op8_warc": "warc",
