@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from nearsieve.llm import warc
+from nearsieve.llm import voronoi, warc
 
 _WHERE = {
     "op1_decontaminate": "decontaminate",
     "op2_token_files": "tokenfile",
     "op3_url_filter": "url_filter",
+    "op4_voronoi_knn": "voronoi",
     "op5_pii": "pii",
     "op7_packing": "packing",
     "op8_warc": "warc",
@@ -26,4 +27,4 @@ def _query(name: str, module: str):
 
 
 QUERIES = {name: _query(name, module) for name, module in _WHERE.items()}
-ORACLES = {"op8_warc": warc.OP8_SQL}
+ORACLES = {"op4_voronoi_knn": voronoi.OP4_SQL, "op8_warc": warc.OP8_SQL}
