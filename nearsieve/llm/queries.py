@@ -12,6 +12,7 @@ _WHERE = {
     "op3_url_filter": "url_filter",
     "op4_voronoi_knn": "voronoi",
     "op5_pii": "pii",
+    "op6_substring": "substring",
     "op7_packing": "packing",
     "op8_warc": "warc",
     "op9_simhash": "simhash",
