@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def bit_length(x: Column) -> Column:
 
 def next_power_of_two(x: Column) -> Column:
     """Least power of two that is at least x; 0 below 0, 1 for 0."""
-    up = F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(x - 1)).cast("int"))
+    up = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(x - 1)))
     return F.when(x < 0, 0).when(x <= 1, 1).otherwise(up).cast("long")
 
 
@@ -41,8 +43,16 @@ def jaccard(a: Column, b: Column) -> Column:
 def char_ngrams(text: Column, n: int) -> Column:
     """All runs of n code points; none for shorter texts and nulls."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    runs = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
-    return F.when(F.length(text) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
+
+    return F.when(F.length(text) >= n, bound(chars, runs)).otherwise(F.array().cast("array<string>"))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often and in whatever lambda the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def gram_hash(gram: Column) -> Column:
