@@ -104,7 +104,7 @@ class Network:
         p = self.p
         return np.concatenate([vectors @ p["Wf"] + p["cf"], vectors @ p["Wb"] + p["cb"]], axis=1)
 
-    def logits(self, text: Text, windows: np.ndarray, batch: int = 4096) -> np.ndarray:
+    def logits(self, text: Text, windows: np.ndarray, batch: int = 2048) -> np.ndarray:
         """windows: (N, T) indices into the batch's words, -1 where a window is shorter."""
         table = np.concatenate([self.gates(self.embed(text)), np.zeros((1, 6 * self.hidden), np.float32)])
         out = np.empty(len(windows), np.float32)

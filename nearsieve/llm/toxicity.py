@@ -38,7 +38,7 @@ def cut_windows(first: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.minimum(k * stride, np.maximum(0, size[row] - window))
     inside = start[:, None] + np.arange(window)
-    return np.where(inside < size[row, None], first[row, None] + inside, -1), row
+    return np.where(inside < size[row, None], first[row, None] + inside, -1).astype(np.int32), row
 
 
 @dataclass
@@ -94,7 +94,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     """
     labels = np.asarray(labels, np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
-    words = Words(pa.array(texts, pa.string()))
+    words = Words.of(texts)
     if not 0 < share < 1 or not (labels[words.row] == 0).any():
         prior = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(0, np.uint64), Network(0), (0.0, 0.0, 0.0, float(np.log(prior / (1 - prior)))))
@@ -105,11 +105,15 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     if not (labels[words.row[~held[words.row]]] == 0).any():
         held[:] = False
     # words by the number of documents that have them, ties by hash
-    pairs = np.unique(np.stack([words.hash, words.row.astype(np.uint64)]), axis=1)
-    hashes, begin, count = np.unique(pairs[0], return_index=True, return_counts=True)
+    order = np.lexsort((words.row, words.hash))
+    h, d = words.hash[order], words.row[order]
+    once = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+    h, d = h[once], d[once]
+    hashes, begin, count = np.unique(h, return_index=True, return_counts=True)
+    del order, once
     vocabulary = np.sort(hashes[np.lexsort((hashes, -count))[:VOCABULARY]])
     # first guess of the window that stands for a document: the word most typical of toxic ones
-    toxic = np.add.reduceat(labels[pairs[1].astype(np.int64)], begin)
+    toxic = np.add.reduceat(labels[d], begin)
     at = np.searchsorted(hashes, words.hash)
     others = np.maximum(toxic[at] - labels[words.row], 0)  # a document says nothing about itself
     own = np.log((others + 0.5) / (labels.sum() + 1)) - np.log((count[at] - toxic[at] + 0.5) / (len(labels) - labels.sum() + 1))

@@ -73,6 +73,29 @@ class Words:
             np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * forth[: len(self.data)], out=sums[1:])
             self.hash = mix((sums[self.end] - sums[self.start]) * back[self.start])
 
+    @classmethod
+    def of(cls, texts: list[str], limit: int = 1 << 19) -> Words:
+        """``Words`` of many texts, worked out for about ``limit`` characters at a time."""
+        parts, held, size = [], [], 0
+        for t in [*texts, None]:
+            if held and (t is None or size + len(t) > limit):
+                parts.append(cls(pa.array(held, pa.string())))
+                held, size = [], 0
+            if t is not None:
+                held.append(t)
+                size += len(t)
+        out = cls(pa.array([], pa.string()))
+        if parts:
+            bytes_before = np.cumsum([0] + [len(p.data) for p in parts])
+            words_before = np.cumsum([0] + [len(p.start) for p in parts])
+            rows_before = np.cumsum([0] + [len(p.first) - 1 for p in parts])
+            out.data, out.hash = np.concatenate([p.data for p in parts]), np.concatenate([p.hash for p in parts])
+            out.start = np.concatenate([p.start + b for p, b in zip(parts, bytes_before, strict=False)])
+            out.end = np.concatenate([p.end + b for p, b in zip(parts, bytes_before, strict=False)])
+            out.row = np.concatenate([p.row + b for p, b in zip(parts, rows_before, strict=False)])
+            out.first = np.concatenate([*[p.first[:-1] + b for p, b in zip(parts, words_before, strict=False)], words_before[-1:]])
+        return out
+
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode()
 
