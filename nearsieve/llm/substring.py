@@ -219,7 +219,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if i + 1 < len(n):
                     same += common(x[a1[i] + n[i] : a1[i + 1]], y[a2[i] + n[i] : a2[i + 1]])
             s1, s2, e1, e2 = a1[0], a2[0], a1[-1] + n[-1], a2[-1] + n[-1]
-            while s1 and s2 and x[s1 - 1] == y[s2 - 1]:
+            while 0 < s1 <= len(x) and 0 < s2 <= len(y) and x[s1 - 1] == y[s2 - 1]:
                 s1, s2, same = s1 - 1, s2 - 1, same + 1
             while e1 < len(x) and e2 < len(y) and x[e1] == y[e2]:
                 e1, e2, same = e1 + 1, e2 + 1, same + 1
@@ -249,8 +249,11 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     each of them has one passage, its whole text. A passage that repeats only
     within its own document is none. Null and empty texts and rows with a null
     doc_id have no passages. Rows that repeat a doc_id count as one if
-    their texts are equal; of different texts under one id the first by digest
-    is taken. Empty tables give no rows; other columns are ignored.
+    their texts are equal; different texts under one id are searched each, and
+    the id's passages are those of all of them. A word said many times in a row
+    is aligned from where that row starts, so the longer of two such rows is
+    covered as far as the shorter goes. Empty tables give no rows; other
+    columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     rows = rows.withColumn("digest", F.unhex(F.md5(F.encode("text", "UTF-8"))))
