@@ -4,7 +4,8 @@ Both tokenizers split a text before merging, and never across the end of a run
 of white space. A chunk that such a split is certain to isolate has the same
 ids wherever it stands, so its ids are kept. Texts in which the split could
 depend on more than the chunk (other white space, letters outside Latin,
-special tokens) go to the tokenizer whole.
+special tokens) go to the tokenizer whole. Where each space stands alone a
+text is split at spaces, which is several times faster than by a pattern.
 """
 
 from __future__ import annotations
