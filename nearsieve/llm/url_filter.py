@@ -50,8 +50,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
 def grams(url: Column, order: int = ORDER) -> Column:
     """Every character of ``^^^^url$`` with the ``order`` before it."""
     chars = F.concat(F.array(*[F.lit("^")] * order), F.filter(F.split(F.coalesce(url, F.lit("")), ""), lambda x: x != ""), F.array(F.lit("$")))
-    last = F.size(chars) - order
-    return F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat(*[F.get(chars, i + j) for j in range(order + 1)]))
+
+    def runs(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - order - 1), lambda i: F.concat(*[F.get(chars, i + j) for j in range(order + 1)]))
+
+    # a lambda over an array of one: the characters are split once, not for each gram
+    return F.get(F.transform(F.array(chars), runs), F.lit(0))
 
 
 @dataclass
@@ -128,7 +132,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     rows = rows.withColumns({"host": host, "path": path})
     which, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": which, "said": said})
-    urls = cut(rows.select("url", F.col("said").alias("verdict")).distinct(), "urls")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, so that grams are made by many tasks
+    urls = cut(rows.select("url", F.col("said").alias("verdict")).distinct().repartition(parts, "url"), "urls")
     model = learn(urls)
     scored = cut(model.scored(urls.select("url")), "scores")
     verdict = F.coalesce("said", F.when(F.col("score") >= model.threshold, "allow").otherwise("block"))
