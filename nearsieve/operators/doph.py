@@ -41,7 +41,8 @@ def signatures(long: DataFrame, cfg: KnnConfig) -> DataFrame:
 
 
 def densified(raw: Column, cfg: KnnConfig) -> Column:
-    donors = F.from_json(F.lit(json.dumps(cfg.donors)), "array<array<int>>")
+    # a donor asked twice says nothing new
+    donors = F.from_json(F.lit(json.dumps([list(dict.fromkeys(d)) for d in cfg.donors])), "array<array<int>>")
 
     def value(h: Column, i: Column) -> Column:
         lent = F.filter(F.transform(F.get(donors, i), lambda j: F.get(raw, j)), lambda x: x.isNotNull())
