@@ -268,6 +268,8 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     single = rows.join(others, F.col("doc_id") == F.col("drop_id"), "left_anti").select("doc_id", "text")
     found = seeds(single)
     anchors = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("z")).filter("a.doc <> z").select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos"))
+    # written first: an aggregate that feeds the join directly would keep a frequent seed's rows from being split
+    anchors = cut(anchors, "anchors")
     links = found.join(anchors, "seed").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
     chains = cut(links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains, CHAINS), "chains")
     ends = chains.select(F.col("doc").alias("doc"), F.col("f1").alias("f"), F.col("t1").alias("t")).union(chains.select("anchor", "f2", "t2")).distinct()
