@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearsieve.config import MASK, KnnConfig
 from nearsieve.functions.u32 import fold, mask, mul, top_bits
 
+# Fixed value of the hash contract: the second multiplier.
 _SPREAD = 0x85EBCA6B
 
 
