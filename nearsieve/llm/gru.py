@@ -30,21 +30,33 @@ class Text:
     trigrams: np.ndarray  # rows of all trigrams, distinct word by distinct word
     first: np.ndarray  # where each distinct word's trigrams begin
 
+    def only(self, words: np.ndarray) -> tuple[Text, np.ndarray]:
+        """The distinct words of these words of the batch alone, and each one's index among them."""
+        sub, at = np.unique(self.at[words], return_inverse=True)
+        size = np.diff(np.append(self.first, len(self.trigrams)))[sub]
+        first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+        take = np.repeat(self.first[sub] - first, size) + np.arange(size.sum())
+        return Text(np.arange(len(sub)), self.known[sub], self.trigrams[take], first), at
+
 
 def distinct(words: Words, vocabulary: np.ndarray) -> Text:
     """``vocabulary``: sorted hashes; row i + 1 belongs to entry i."""
     hashes, one, at = np.unique(words.hash, return_index=True, return_inverse=True)
     place = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
     known = np.where(vocabulary[place] == hashes, place + 1, 0) if len(vocabulary) else np.zeros(len(hashes), np.int64)
-    start, end = words.start[one], words.end[one]
-    size = end - start
-    first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-    pos = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(start, size)
-    data = np.concatenate([words.data, np.zeros(1, np.uint8)]).astype(np.uint64)
-    left = np.where(pos == np.repeat(start, size), 1, data[pos - 1])
-    right = np.where(pos + 1 == np.repeat(end, size), 2, data[pos + 1])
-    rows = mix(left << np.uint64(16) | data[pos] << np.uint64(8) | right) % np.uint64(TRIGRAMS)
-    return Text(at, known, rows.astype(np.int64), first)
+    start, size = words.start[one], words.end[one] - words.start[one]
+    first = np.cumsum(size) - size
+    rows = np.empty(int(size.sum()), np.int32)
+    for low in range(0, len(size), 1 << 14):  # a slice of words at a time, for memory
+        part = slice(low, low + (1 << 14))
+        begin, n = np.repeat(start[part], size[part]), int(first[low])
+        ends = np.repeat(start[part] + size[part], size[part])
+        pos = np.arange(len(begin)) + n - np.repeat(first[part], size[part]) + begin
+        here = words.data[pos].astype(np.uint64)
+        left = np.where(pos == begin, 1, words.data[pos - 1]).astype(np.uint64)
+        right = np.where(pos + 1 == ends, 2, words.data[np.minimum(pos + 1, len(words.data) - 1)]).astype(np.uint64)
+        rows[n : n + len(pos)] = mix(left << np.uint64(16) | here << np.uint64(8) | right) % np.uint64(TRIGRAMS)
+    return Text(at.astype(np.int32), known.astype(np.int32), rows, first)
 
 
 @dataclass
@@ -106,12 +118,16 @@ class Network:
 
     def logits(self, text: Text, windows: np.ndarray, batch: int = 2048) -> np.ndarray:
         """windows: (N, T) indices into the batch's words, -1 where a window is shorter."""
-        table = np.concatenate([self.gates(self.embed(text)), np.zeros((1, 6 * self.hidden), np.float32)])
         out = np.empty(len(windows), np.float32)
         for i in range(0, len(windows), batch):
             part = windows[i : i + batch].T
-            word = np.where(part >= 0, text.at[part], len(table) - 1)
-            out[i : i + batch] = self.forward(table[word], (part >= 0)[:, :, None].astype(np.float32))[0]
+            inside = part >= 0
+            own, at = text.only(part[inside])
+            table = np.zeros((len(own.known) + 1, 6 * self.hidden), np.float32)
+            table[:-1] = self.gates(self.embed(own))
+            word = np.full(part.shape, len(own.known), np.int32)
+            word[inside] = at
+            out[i : i + batch] = self.forward(table[word], inside[:, :, None].astype(np.float32))[0]
         return out
 
     def gradients(self, text: Text, windows: np.ndarray, y: np.ndarray, drop: np.ndarray) -> tuple[float, dict]:

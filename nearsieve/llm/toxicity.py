@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearsieve.llm.env import read_table, slices
-from nearsieve.llm.gru import Adam, Network, Text, distinct
+from nearsieve.llm.gru import Adam, Network, distinct
 from nearsieve.llm.words import Words
 
 WINDOW, STRIDE = 32, 24
@@ -105,20 +105,22 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     if not (labels[words.row[~held[words.row]]] == 0).any():
         held[:] = False
     # words by the number of documents that have them, ties by hash
-    order = np.lexsort((words.row, words.hash))
-    h, d = words.hash[order], words.row[order]
+    order = np.argsort(words.hash, kind="stable").astype(np.int32)  # rows ascend already
+    h, d = words.hash[order], words.row[order].astype(np.int32)
+    del order
     once = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
     h, d = h[once], d[once]
     hashes, begin, count = np.unique(h, return_index=True, return_counts=True)
-    del order, once
+    del once
     vocabulary = np.sort(hashes[np.lexsort((hashes, -count))[:VOCABULARY]])
     # first guess of the window that stands for a document: the word most typical of toxic ones
     toxic = np.add.reduceat(labels[d], begin)
-    at = np.searchsorted(hashes, words.hash)
+    at = np.searchsorted(hashes, words.hash).astype(np.int32)
     others = np.maximum(toxic[at] - labels[words.row], 0)  # a document says nothing about itself
     own = np.log((others + 0.5) / (labels.sum() + 1)) - np.log((count[at] - toxic[at] + 0.5) / (len(labels) - labels.sum() + 1))
     where, row = cut_windows(words.first)
-    guess = np.where(where >= 0, own[where], -np.inf).max(axis=1)
+    own = own.astype(np.float32)
+    guess = np.concatenate([np.where(w >= 0, own[w], -np.inf).max(axis=1) for w in np.array_split(where, 1 + len(where) // 4096)])
     # a toxic document without any word that other toxic ones favour is taken for a wrong label
     best = np.full(len(labels), -np.inf)
     np.maximum.at(best, row, guess)
@@ -126,6 +128,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     if (trusted & (labels > 0) & ~held).sum() < 5:
         trusted[:] = True
     text = distinct(words, vocabulary)
+    del others, at, h, d
     net = Network(len(vocabulary))
     adam = Adam(net)
     clean = np.flatnonzero((labels[words.row] == 0) & ~held[words.row])
@@ -150,14 +153,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
                 # half of the other words of a toxic window are exchanged for words of clean texts
                 swap = (target[part] > 0)[:, None] & (w >= 0) & (own[w] < FAVOURED) & (r.random(w.shape) < 0.5)
                 w = np.where(swap, clean[r.integers(0, len(clean), w.shape)], w)
-                sub, flat = np.unique(text.at[w[w >= 0]], return_inverse=True)
+                small, flat = text.only(w[w >= 0])
                 local = np.full(w.shape, -1)
                 local[w >= 0] = flat
-                size = np.diff(np.append(text.first, len(text.trigrams)))[sub]
-                first = np.concatenate([[0], np.cumsum(size)[:-1]])
-                take = np.repeat(text.first[sub] - first, size) + np.arange(size.sum())
-                small = Text(np.arange(len(sub)), text.known[sub], text.trigrams[take], first)
-                adam.step(net.gradients(small, local, target[part], r.random(len(sub)) < 0.15)[1])
+                adam.step(net.gradients(small, local, target[part], r.random(len(small.known)) < 0.15)[1])
     x = pooled(net.logits(text, where), row, len(labels))
     judged = held if held.any() else np.ones(len(labels), bool)
     return Model(vocabulary, net, _calibrate(x[judged], labels[judged].astype(np.float64)))

@@ -65,7 +65,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, bounds)
         self.first[-1] = len(self.start)
-        self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
         self.bounds = bounds
         if hashes:
             forth, back = _powers(len(self.data) + 1)
@@ -92,7 +92,7 @@ class Words:
             out.data, out.hash = np.concatenate([p.data for p in parts]), np.concatenate([p.hash for p in parts])
             out.start = np.concatenate([p.start + b for p, b in zip(parts, bytes_before, strict=False)])
             out.end = np.concatenate([p.end + b for p, b in zip(parts, bytes_before, strict=False)])
-            out.row = np.concatenate([p.row + b for p, b in zip(parts, rows_before, strict=False)])
+            out.row = np.concatenate([p.row + np.int32(b) for p, b in zip(parts, rows_before, strict=False)])
             out.first = np.concatenate([*[p.first[:-1] + b for p, b in zip(parts, words_before, strict=False)], words_before[-1:]])
         return out
 
