@@ -5,8 +5,8 @@ equal words share one. Each seed is linked to its first occurrence (least
 document, then position), a star instead of all pairs. The links of a document
 with an anchor document become blocks on diagonals, blocks are chained in
 order with gap costs by a Fenwick tree of prefix maxima, the gaps of a chain are
-aligned word by word, and its ends are drawn out while words are equal. Aligned
-pieces of a document that touch are one passage, whichever anchors they have.
+aligned word by word, a chain that isn't alike enough is split at its worst gaps,
+and ends are drawn out while words are equal. Aligned pieces of a document that touch are one passage, whichever anchors they have.
 """
 
 from __future__ import annotations
@@ -205,27 +205,42 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 PIECES = "doc long, start int, end int, partner long"
 
 
+def aligned(x: list, y: list, blocks: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Bounds in both texts of the parts of a chain of blocks (starts in both, and lengths) that are alike to IDENTITY.
+
+    A part that isn't is split at its gap of most unequal words and each side is judged alone, down
+    to single blocks, so no run of equal words is lost with its surroundings.
+    """
+    a1, a2, n = (c.tolist() for c in blocks.T)
+    equal = [common(x[a1[i] + n[i] : a1[i + 1]], y[a2[i] + n[i] : a2[i + 1]]) for i in range(len(n) - 1)]
+    loss = np.array([max(a1[i + 1] - a1[i], a2[i + 1] - a2[i]) - n[i] - equal[i] for i in range(len(n) - 1)])
+    before = np.cumsum([0, *(a + b for a, b in zip(n, [*equal, 0], strict=True))])
+    parts = [(0, len(n) - 1)]
+    while parts:
+        low, high = parts.pop()
+        same = int(before[high] - before[low]) + n[high]
+        s1, s2, e1, e2 = a1[low], a2[low], a1[high] + n[high], a2[high] + n[high]
+        while 0 < s1 <= len(x) and 0 < s2 <= len(y) and x[s1 - 1] == y[s2 - 1]:
+            s1, s2, same = s1 - 1, s2 - 1, same + 1
+        while e1 < len(x) and e2 < len(y) and x[e1] == y[e2]:
+            e1, e2, same = e1 + 1, e2 + 1, same + 1
+        if same >= IDENTITY * max(e1 - s1, e2 - s2):
+            yield s1, s2, e1, e2
+        elif low < high:
+            worst = low + int(loss[low:high].argmax())
+            parts += [(low, worst), (worst + 1, high)]
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both sides of every chain that aligns."""
+    """Both sides of every part of a chain that aligns."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            x, y, f1, f2 = r["x"], r["y"], r["f1"], r["f2"]
-            b = np.array(r["blocks"], np.int64).reshape(-1, 3)
-            a1, a2, n = (b[:, 0] - f1).tolist(), (b[:, 1] - f2).tolist(), b[:, 2].tolist()
-            same = 0
-            for i in range(len(n)):
-                same += n[i]
-                if i + 1 < len(n):
-                    same += common(x[a1[i] + n[i] : a1[i + 1]], y[a2[i] + n[i] : a2[i + 1]])
-            s1, s2, e1, e2 = a1[0], a2[0], a1[-1] + n[-1], a2[-1] + n[-1]
-            while 0 < s1 <= len(x) and 0 < s2 <= len(y) and x[s1 - 1] == y[s2 - 1]:
-                s1, s2, same = s1 - 1, s2 - 1, same + 1
-            while e1 < len(x) and e2 < len(y) and x[e1] == y[e2]:
-                e1, e2, same = e1 + 1, e2 + 1, same + 1
-            if min(e1 - s1, e2 - s2) >= PIECE and same >= IDENTITY * max(e1 - s1, e2 - s2):
-                out.append((r["doc"], s1 + f1, e1 + f1, r["anchor"]))
-                out.append((r["anchor"], s2 + f2, e2 + f2, r["doc"]))
+            f1, f2 = r["f1"], r["f2"]
+            for s1, s2, e1, e2 in aligned(r["x"], r["y"], np.array(r["blocks"], np.int64).reshape(-1, 3) - [f1, f2, 0]):
+                if min(e1 - s1, e2 - s2) >= PIECE:
+                    out.append((r["doc"], s1 + f1, e1 + f1, r["anchor"]))
+                    out.append((r["anchor"], s2 + f2, e2 + f2, r["doc"]))
         if out:
             cols = zip(*out, strict=True)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], [c.split()[0] for c in PIECES.split(", ")])

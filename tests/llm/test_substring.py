@@ -55,6 +55,44 @@ def test_minimizers_meet_in_equal_runs(prose):
     assert set.intersection(*({int(x) for x in h[words.row[at] == i]} for i in range(7)))
 
 
+def found_in(texts, module=substring):
+    """(document, start, end) of the passages of a few texts, by the operator's own steps."""
+    words = Words(pa.array(texts))
+    h, at = module.minimizers(words)
+    first, links = {}, []
+    for x, i in sorted(zip(h.tolist(), at.tolist(), strict=True), key=lambda v: v[1]):
+        doc, pos = int(words.row[i]), int(i - words.first[words.row[i]])
+        a, q = first.setdefault(x, (doc, pos))
+        if a != doc:
+            links.append((doc, a, pos, q))
+    links.sort(key=lambda v: v[0])
+    covered = [np.zeros(k + 1, bool) for k in np.diff(words.first)]
+    if links:
+        cols = [pa.array(c) for c in zip(*links, strict=True)]
+        for batch in module._chains(iter([pa.record_batch(cols, ["doc", "anchor", "pos", "apos"])])):
+            rows = batch.to_pylist()
+            for r in rows:
+                for side, doc, f, t in (("x", r["doc"], r["f1"], r["t1"]), ("y", r["anchor"], r["f2"], r["t2"])):
+                    own = words.hash[words.first[doc] : words.first[doc + 1]]
+                    r[side] = own[f:t].view(np.int64).tolist()
+            for part in module._align(iter([pa.RecordBatch.from_pylist(rows)])):
+                for r in part.to_pylist():
+                    covered[r["doc"]][r["start"] : r["end"]] = True
+    out = []
+    for i, c in enumerate(covered):
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], c]).astype(int)))
+        out += [(i, int(s), int(e)) for s, e in edges.reshape(-1, 2) if e - s >= substring.PASSAGE]
+    return out
+
+
+def test_exact_runs_survive_a_chain_that_is_not_alike(prose):
+    one, two, line = prose(55, 910), prose(55, 911), prose(20, 912)
+    found = found_in([f"{prose(40, 913)} {one} {prose(30, 914)} {two} {prose(9, 915)}", f"{prose(12, 916)} {one} {two} {prose(40, 917)}"])
+    assert [(i, s) for i, s, _ in found] == [(0, 40), (0, 125), (1, 12)] and [e for _, _, e in found] == [95, 180, 122]
+    found = found_in([f"{prose(30, 918)} {line} {prose(25, 919)} {two} {two[:5]}x {prose(30, 920)}", f"{prose(50, 921)} {line} {two} {prose(30, 922)}"])
+    assert any(i == 0 and s <= 75 and e >= 130 for i, s, e in found) and any(i == 1 and s <= 70 and e >= 125 for i, s, e in found)
+
+
 def test_passages(spark, documents, prose):
     passage, other = prose(70, 900), prose(60, 901)
     fuzzy = passage.split()
