@@ -1,7 +1,7 @@
 """Passages that repeat across documents, exactly or with small changes.
 
-Seeds are runs of SEED words chosen by minimizers, so any WINDOW + SEED - 1
-equal words share one. Each seed is linked to its first occurrence (least
+Seeds are runs of SEED words chosen by their own words alone, such that any
+WINDOW + SEED - 1 equal words share one. Each seed is linked to its first occurrence (least
 document, then position), a star instead of all pairs. The links of a document
 with an anchor document become blocks on diagonals, blocks are chained in
 order with gap costs by a Fenwick tree of prefix maxima, the gaps of a chain are
@@ -21,37 +21,34 @@ from pyspark.sql import functions as F
 from nearsieve.llm.env import cut, read_table, slices
 from nearsieve.llm.words import Words, mix
 
-SEED, WINDOW = 8, 8
+SEED, WINDOW = 5, 3
 PASSAGE, PIECE = 50, 16  # least words of a passage, and of an aligned piece of one
 IDENTITY = 0.8
-GAP_COST, GAP = 0.25, 40  # per word that a gap spans on either side; longer gaps end a chain
-REACH = SEED + WINDOW  # words beyond a chain's ends that are looked at
+GAP_COST, GAP = 0.1, 40  # per word that a gap spans on either side; longer gaps end a chain
+REACH = 16  # words beyond a chain's ends that are looked at
+LEAST = 2 * SEED  # words of the blocks of a pair, or of a chain, that is looked at
 GRID = 32  # slices begin and end at multiples of this, so that chains share them
 SMALL = 200_000  # lists of documents of up to this many rows (of some 100 bytes) are broadcast
 
 
 def minimizers(words: Words, k: int = SEED, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the runs of ``k`` words that are least, the rightmost if tied, in
-    some ``w`` neighbouring runs of one text (or of all, where a text has fewer)."""
+    """Hashes and first words of the runs of ``k`` words whose least run of ``k - w`` words is their
+    first or last (closed syncmers): a choice by the run alone, so that words around it don't matter,
+    and one of any ``w`` neighbouring runs is chosen."""
     h, at = words.shingles(k)
     if not len(h):
         return h, at
+    short, where = words.shingles(k - w)
+    first = np.searchsorted(where, at)  # a text's short runs are neighbours
+    inner = short[first + 1]
+    for j in range(2, w):
+        inner = np.minimum(inner, short[first + j])
+    picked = np.minimum(short[first], short[first + w]) <= inner
     # a word said many times in a row is told apart by its place in that row, so that such runs align
     n = np.arange(len(words.hash))
     same = np.concatenate([[False], (words.hash[1:] == words.hash[:-1]) & (words.row[1:] == words.row[:-1])])
     place = n - np.maximum.accumulate(np.where(same, 0, n))
     h = mix(h ^ mix(place.astype(np.uint64))[at + k - 1])
-    row = words.row[at]
-    best = np.arange(len(h))
-    for j in range(1, w):  # least of the run and its next j, within the text
-        other = np.minimum(np.arange(len(h)) + j, len(h) - 1)
-        better = (row[other] == row) & (h[other] <= h[best])
-        best = np.where(better, other, best)
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    start = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    last = np.append(np.flatnonzero(first)[1:], len(h))[np.cumsum(first) - 1]
-    full = np.arange(len(h)) + w <= last
-    picked = np.unique(best[full | (np.arange(len(h)) == start)])
     return h[picked], at[picked]
 
 
@@ -150,14 +147,14 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         total = np.add.reduceat(n, starts) if len(starts) else n
         for p, (low, high) in enumerate(zip(starts, np.append(starts[1:], len(doc)), strict=True)):
-            if total[p] < PIECE:
+            if total[p] < LEAST:
                 continue
             a, b, m = s1[low:high], s2[low:high], n[low:high]
             for path in chain(a, b, m):
                 first, last = path[0], path[-1]
                 flat = [int(v) for i in path for v in (a[i], b[i], m[i])]
                 f1, f2, t1, t2 = int(a[first]), int(b[first]), int(a[last] + m[last]), int(b[last] + m[last])
-                if t1 - f1 >= PIECE - 1 or len(path) > 1:
+                if sum(flat[2::3]) >= LEAST:
                     low_, high_ = (lambda v: max(0, v - REACH) // GRID * GRID), (lambda v: -(-(v + REACH) // GRID) * GRID)
                     out.append((int(doc[low]), int(anchor[low]), low_(f1), high_(t1), low_(f2), high_(t2), flat))
         return out

@@ -93,6 +93,14 @@ def test_exact_runs_survive_a_chain_that_is_not_alike(prose):
     assert any(i == 0 and s <= 75 and e >= 130 for i, s, e in found) and any(i == 1 and s <= 70 and e >= 125 for i, s, e in found)
 
 
+def test_changes_every_few_words_leave_seeds(prose):
+    for every in (7, 8, 10):
+        passage = prose(100, 930).split()
+        changed = [w if i % every != every - 1 else f"new{i}" for i, w in enumerate(passage)]
+        found = found_in([f"{prose(40, 931)} {' '.join(passage)} {prose(30, 932)}", f"{prose(25, 933)} {' '.join(changed)} {prose(30, 934)}"])
+        assert [i for i, _, _ in found] == [0, 1] and all(e - s >= 85 for _, s, e in found)
+
+
 def test_passages(spark, documents, prose):
     passage, other = prose(70, 900), prose(60, 901)
     fuzzy = passage.split()
