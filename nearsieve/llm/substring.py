@@ -6,7 +6,7 @@ document, then position), a star instead of all pairs. The links of a document
 with an anchor document become blocks on diagonals, blocks are chained in
 order with gap costs by a Fenwick tree of prefix maxima, the gaps of a chain are
 aligned word by word, a chain that isn't alike enough is split at its worst gaps,
-and ends are drawn out while words are equal. Aligned pieces of a document that touch are one passage, whichever anchors they have.
+and ends are drawn out past changed words. Aligned pieces of a document that touch are one passage, whichever anchors they have.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ SEED, WINDOW = 5, 3
 PASSAGE, PIECE = 50, 16  # least words of a passage, and of an aligned piece of one
 IDENTITY = 0.8
 GAP_COST, GAP = 0.1, 40  # per word that a gap spans on either side; longer gaps end a chain
-REACH = 16  # words beyond a chain's ends that are looked at
+REACH = 48  # words beyond a chain's ends that are looked at
+DROP = 8  # an end is drawn out until its equal words less its changes fall by more than this
 LEAST = 2 * SEED  # words of the blocks of a pair, or of a chain, that is looked at
 GRID = 32  # slices begin and end at multiples of this, so that chains share them
 SMALL = 200_000  # lists of documents of up to this many rows (of some 100 bytes) are broadcast
@@ -202,6 +203,36 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 PIECES = "doc long, start int, end int, partner long"
 
 
+def beyond(x: list, y: list) -> list[tuple[int, int, int, int]]:
+    """Ways to go on from the starts of two texts past changed words: (equal words less changes,
+    words of x, words of y, equal words), best first, each ending in equal words.
+
+    Furthest-reaching diagonals by the number of changes: a word replaced, left out or put in.
+    """
+    n, m = len(x), len(y)
+    far, out, best, d = {0: (0, 0)}, [(0, 0, 0, 0)], 0, 0
+    while far:
+        top = -DROP - 1
+        for k, (i, same) in far.items():
+            begin = same
+            while i < n and i - k < m and x[i] == y[i - k]:
+                i, same = i + 1, same + 1
+            far[k] = i, same
+            if same > begin:
+                out.append((same - d, i, i - k, same))
+            top = max(top, same - d)
+        best, d = max(best, top), d + 1
+        if top < best - DROP:
+            break
+        new: dict[int, tuple[int, int]] = {}
+        for k, (i, same) in far.items():
+            for to, at in ((k, i + 1), (k + 1, i + 1), (k - 1, i)):
+                if at <= n and 0 <= at - to <= m:
+                    new[to] = max(new.get(to, (-1, 0)), (at, same))
+        far = new
+    return sorted((o for o in out if o[0] >= 0), reverse=True)
+
+
 def aligned(x: list, y: list, blocks: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Bounds in both texts of the parts of a chain of blocks (starts in both, and lengths) that are alike to IDENTITY.
 
@@ -222,7 +253,12 @@ def aligned(x: list, y: list, blocks: np.ndarray) -> Iterator[tuple[int, int, in
         while e1 < len(x) and e2 < len(y) and x[e1] == y[e2]:
             e1, e2, same = e1 + 1, e2 + 1, same + 1
         if same >= IDENTITY * max(e1 - s1, e2 - s2):
-            yield s1, s2, e1, e2
+            alike = lambda i, j, more: same + more >= IDENTITY * max(e1 - s1 + i, e2 - s2 + j)
+            _, i, j, more = next(o for o in beyond(x[e1 : e1 + REACH], y[e2 : e2 + REACH]) if alike(*o[1:]))
+            e1, e2, same = e1 + i, e2 + j, same + more
+            left = x[max(0, s1 - REACH) : max(0, s1)][::-1], y[max(0, s2 - REACH) : max(0, s2)][::-1]
+            _, i, j, more = next(o for o in beyond(*left) if alike(*o[1:]))
+            yield s1 - i, s2 - j, e1, e2
         elif low < high:
             worst = low + int(loss[low:high].argmax())
             parts += [(low, worst), (worst + 1, high)]

@@ -101,6 +101,17 @@ def test_changes_every_few_words_leave_seeds(prose):
         assert [i for i, _, _ in found] == [0, 1] and all(e - s >= 85 for _, s, e in found)
 
 
+def test_ends_go_on_past_changed_words(prose):
+    for at in ((3, 52), (4, 5, 51), (2, 48), (5, 28, 50)):
+        passage = prose(56, 940).split()
+        changed = [f"new{i}" if i in at else w for i, w in enumerate(passage)]
+        found = found_in([f"{prose(40, 941)} {' '.join(passage)} {prose(30, 942)}", f"{prose(25, 943)} {' '.join(changed)} {prose(30, 944)}"])
+        assert found == [(0, 40, 96), (1, 25, 81)]
+    passage = prose(60, 945).split()
+    shifted = [*passage[:4], *passage[5:54], "put", "in", *passage[54:]]
+    assert found_in([f"{prose(40, 946)} {' '.join(passage)} {prose(30, 947)}", f"{prose(25, 948)} {' '.join(shifted)} {prose(30, 949)}"]) == [(0, 40, 100), (1, 25, 86)]
+
+
 def test_passages(spark, documents, prose):
     passage, other = prose(70, 900), prose(60, 901)
     fuzzy = passage.split()
