@@ -305,15 +305,14 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     rows = rows.withColumn("digest", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    sizes = cut(_word_count(rows), "sizes").groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("x")).select("doc_id", "x.digest", "x.n")
-    sizes = cut(sizes, "texts")
+    sizes = cut(cut(_word_count(rows), "sizes").distinct(), "texts")
     firsts = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("doc_id").alias("last"), F.min("n").alias("n"))
     firsts = cut(firsts, "classes")
-    # all rows but the first of each class are left out of the search
-    others = cut(sizes.join(firsts.filter("copies > 1").select("digest", "first"), "digest").filter("doc_id <> first").select(F.col("doc_id").alias("drop_id")), "others")
+    # all texts but the first of each class are left out of the search
+    others = cut(sizes.join(firsts.filter("copies > 1").select("digest", "first"), "digest").filter("doc_id <> first").select(F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_digest")), "others")
     if others.count() <= SMALL:
         others = F.broadcast(others)
-    single = rows.join(others, F.col("doc_id") == F.col("drop_id"), "left_anti").select("doc_id", "text")
+    single = rows.join(others, (F.col("doc_id") == F.col("drop_id")) & (F.col("digest") == F.col("drop_digest")), "left_anti").select("doc_id", "text")
     found = seeds(single)
     anchors = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("z")).filter("a.doc <> z").select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos"))
     # written first: an aggregate that feeds the join directly would keep a frequent seed's rows from being split
@@ -325,15 +324,19 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     own = parts.select(F.col("doc"), F.col("f").alias("f1"), F.col("t").alias("t1"), F.col("words").alias("x"))
     theirs = parts.select(F.col("doc").alias("anchor"), F.col("f").alias("f2"), F.col("t").alias("t2"), F.col("words").alias("y"))
     pieces = chains.join(own, ["doc", "f1", "t1"]).join(theirs, ["anchor", "f2", "t2"]).select("doc", "anchor", "f1", "f2", "blocks", "x", "y").mapInArrow(_align, PIECES)
-    # at most a row for each word of a document
+    several = sizes.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
+    classes = firsts.filter((F.col("copies") > 1) & (F.col("n") >= least))
+    copies = sizes.select("doc_id", "digest").join(classes, "digest")
+    copies = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner"))
+    # an id's copy among other texts is a piece like those of the others; at most a row for each word of a document
+    pieces = pieces.union(copies.join(several, "doc_id", "left_semi"))
     pieces = cut(pieces.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")), "pieces")
     order = Window.partitionBy("doc").orderBy("start")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = pieces.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = marked.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner")).filter(F.col("end") - F.col("start") >= least)
-    copies = sizes.join(firsts.filter((F.col("copies") > 1) & (F.col("n") >= least)), "digest")
-    copies = copies.select("doc_id", F.lit(0).alias("start"), sizes["n"].alias("end"), F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner"))
-    alone = merged.join(firsts.filter((F.col("copies") > 1) & (F.col("n") >= least)).select(F.col("first").alias("doc")), "doc", "left_anti")
+    copies = copies.join(several, "doc_id", "left_anti")
+    alone = merged.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
     return alone.select(F.col("doc").alias("doc_id"), "start", "end", "partner").union(copies)
 
 

@@ -135,3 +135,11 @@ def test_passages(spark, documents, prose):
     for i, p in exact_windows(texts.items()):
         assert any(s <= p and p + 50 <= e for s, e, _ in found[i])
     assert substring.repeated_passages(documents([])).count() == 0
+
+
+def test_an_id_of_several_texts_is_searched_by_each(spark, documents, prose):
+    copy, shared = prose(80, 1008), prose(60, 951)  # the copy has the least digest
+    rows = [(3, copy), (7, copy), (9, copy), (20, f"{prose(100, 952)} {shared}")]
+    rows += [(i, f"{prose(120 + i, 960 + i)} {shared} {prose(10, 970 + i)}") for i in (3, 7)]
+    found = sorted(map(tuple, substring.repeated_passages(documents(rows)).collect()))
+    assert [r[:3] for r in found] == [(3, 0, 80), (3, 123, 183), (7, 0, 80), (7, 127, 187), (9, 0, 80), (20, 100, 160)]
