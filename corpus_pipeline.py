@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearsieve.llm import decontaminate, packing, pii, simhash, toxicity
+from nearsieve.llm import decontaminate, nearcopies, packing, pii, toxicity
 from nearsieve.llm.env import cut, read_table
 
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of SimHash fingerprints within 3 bits."""
-    return simhash.drop_near_copies(docs)
+    """The document of least doc_id of each class of fingerprints within 3 bits or five-word Jaccard similarity of 0.8."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
