@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearsieve.config import ORDERS, TEXTS
 from nearsieve.functions import scalars
-from nearsieve.operators import doph, index, metrics, query, sketch
+from nearsieve.operators import doph, grams, index, metrics, query, sketch
 from nearsieve.plans import oracle as o
 from nearsieve.sources import vectors as v
 
@@ -132,13 +132,12 @@ def ngram_counts(spark, d):
 
 @query_(o.with_(o.sets_sql("grams", o.grams_sql("documents", "doc_id")), then="SELECT id, (idx >> 11) & 1048575 AS bucket, min(idx) AS h FROM grams GROUP BY 1, 2"))
 def ngram_bucket_min(spark, d):
-    grams = v.texts(spark, d)
-    return grams.groupBy("id", F.shiftright("idx", 11).bitwiseAND(F.lit(1048575)).alias("bucket")).agg(F.min("idx").alias("h"))
+    return grams.bucket_minima(v.texts(spark, d), 11, 20)
 
 
 @query_(o.with_(o.sets_sql("grams", o.grams_sql("documents", "doc_id")), then="SELECT count(*) AS vectors, max(n) AS max_nnz, CAST(floor(avg(n)) AS BIGINT) AS avg_nnz FROM (SELECT id, count(*) AS n FROM grams GROUP BY 1)"))
 def ngram_stats(spark, d):
-    sizes = v.texts(spark, d).groupBy("id").agg(F.count("*").alias("n"))
+    sizes = grams.set_sizes(v.texts(spark, d)).filter("n > 0")
     return sizes.agg(F.count("*").alias("vectors"), F.max("n").alias("max_nnz"), F.floor(F.avg("n")).cast("long").alias("avg_nnz"))
 
 
@@ -167,7 +166,7 @@ def bucket_address(spark, d):
 
 @query_(o.with_(o.sets_sql("grams", o.grams_sql("documents", "doc_id")), *o.built(TEXTS, "grams"), then="SELECT id, tbl, bucket FROM addr"))
 def bucket_address_texts(spark, d):
-    return doph.addressed(v.texts(spark, d), TEXTS)
+    return doph.addressed(grams.features(v.texts(spark, d)), TEXTS)
 
 
 @query_(o.with_(SETS, *o.built(ORDERS), then=f"SELECT round(min(s), 6) AS min_share, round(max(s), 6) AS max_share, round(avg(s), 6) AS avg_share FROM (SELECT tbl, count(DISTINCT bucket) / {float(2**ORDERS.address_bits)} AS s FROM addr GROUP BY 1)"))
@@ -212,8 +211,8 @@ def batched_query(spark, d):
     "cand AS (SELECT q.id AS qid, i.tbl, i.slot, i.id FROM qaddr q JOIN idx i ON i.tbl = q.tbl AND i.bucket = q.bucket)", o.ranked_sql(TEXTS.top_k), then="SELECT qid, rank, id, n FROM knn"))
 def knn_contamination(spark, d):
     """Test items against documents: two id spaces, so equal numbers are no self-match."""
-    idx = index.reservoirs(doph.addressed(v.texts(spark, d), TEXTS), TEXTS)
-    asked = doph.addressed(v.texts(spark, d, "benchmark", "item_id"), TEXTS)
+    idx = index.reservoirs(doph.addressed(grams.features(v.texts(spark, d)), TEXTS), TEXTS)
+    asked = doph.addressed(grams.features(v.texts(spark, d, "benchmark", "item_id")), TEXTS)
     return query.top_by_count(query.probe(asked, idx, own=True), TEXTS.top_k)
 
 

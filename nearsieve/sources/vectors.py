@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearsieve.functions.scalars import char_ngrams, gram_hash, pad_suffix
+from nearsieve.functions.scalars import pad_suffix
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +111,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") + 1).alias("idx")).distinct()
 
 
-def texts(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id", n: int = 5) -> DataFrame:
-    """The set of character n-grams of each text."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("id"), "text")
-    grams = F.array_distinct(F.transform(F.array_distinct(char_ngrams(F.col("text"), n)), gram_hash))
-    return rows.select("id", F.explode(grams).alias("idx")).distinct()
+def texts(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    """``id, text`` of a table of texts."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("id"), "text")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
