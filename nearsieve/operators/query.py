@@ -21,10 +21,25 @@ def probe(asked: DataFrame, index: DataFrame, own: bool = False) -> DataFrame:
     return found.filter(F.lit(own) | (F.col("qid") != F.col("id"))).select("qid", "tbl", "slot", "id")
 
 
-def top_by_count(candidates: DataFrame, k: int) -> DataFrame:
-    """``qid, rank, id, n``: the k most frequent ids, ties to the smaller id; ranks from 0."""
-    counts = candidates.groupBy("qid", "id").agg(F.count("*").alias("n"))
-    return ranked(counts, k)
+def probe_lists(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """``qid, tbl, ids``: a bucket's whole list of ids, by slot, for each table of a query; its own id is among them.
+
+    A tenth of the bytes of ``probe``: results go by query in one shuffle of lists.
+    """
+    lists = index.groupBy("tbl", "bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "id"))), lambda x: x["id"]).alias("ids"))
+    return asked.withColumnRenamed("id", "qid").join(lists, ["tbl", "bucket"]).select("qid", "tbl", "ids")
+
+
+def top_by_count(candidates: DataFrame, k: int, own: bool = False) -> DataFrame:
+    """``qid, rank, id, n``: the k most frequent ids, ties to the smaller id; ranks from 0.
+
+    ``candidates`` are those of ``probe`` or ``probe_lists``. One shuffle by query
+    serves the counts and the ranks; a query has at most tables * reservoir candidates.
+    """
+    near = candidates.repartition("qid")
+    if "ids" in near.columns:
+        near = near.select("qid", F.explode("ids").alias("id")).filter(F.lit(own) | (F.col("qid") != F.col("id")))
+    return ranked(near.groupBy("qid", "id").agg(F.count("*").alias("n")), k)
 
 
 def ranked(counts: DataFrame, k: int) -> DataFrame:

@@ -47,9 +47,9 @@ def knn_parts(spark, d: str) -> tuple[DataFrame, DataFrame]:
     return addr, index.reservoirs(addr, ORDERS)
 
 
-def candidates(spark, d: str) -> DataFrame:
+def candidates(spark, d: str, lists: bool = True) -> DataFrame:
     addr, idx = knn_parts(spark, d)
-    return query.probe(addr.filter(F.col("id") % query.EVERY == 0), idx)
+    return (query.probe_lists if lists else query.probe)(addr.filter(F.col("id") % query.EVERY == 0), idx)
 
 
 # --- sources and projections
@@ -190,7 +190,7 @@ def incremental_index(spark, d):
 
 @query_(o.with_(*KNN[:-1], then="SELECT qid, tbl, slot, id FROM cand"))
 def probe_candidates(spark, d):
-    return candidates(spark, d)
+    return candidates(spark, d, lists=False)
 
 
 # --- top-K
@@ -213,7 +213,7 @@ def knn_contamination(spark, d):
     """Test items against documents: two id spaces, so equal numbers are no self-match."""
     idx = index.reservoirs(doph.addressed(grams.features(v.texts(spark, d)), TEXTS), TEXTS)
     asked = doph.addressed(grams.features(v.texts(spark, d, "benchmark", "item_id")), TEXTS)
-    return query.top_by_count(query.probe(asked, idx, own=True), TEXTS.top_k)
+    return query.top_by_count(query.probe_lists(asked, idx), TEXTS.top_k, own=True)
 
 
 ITEMS = "SELECT qid, id AS item, {'tbl': tbl, 'slot': slot, 'item': id} AS o FROM cand"
@@ -222,12 +222,14 @@ PARTED = "SELECT qid, id % 4 AS part, id AS item, {'tbl': tbl, 'slot': slot, 'it
 
 @query_(o.with_(*KNN[:-1], o.sketch_sql(ORDERS, "qid", ITEMS, "o"), then="SELECT qid, CAST(row AS INTEGER) AS row, cell, hh, cnt FROM cells"))
 def sketch_cells(spark, d):
-    return sketch.sketch(candidates(spark, d), ORDERS, ["qid"], ["tbl", "slot"])
+    return sketch.sketch(candidates(spark, d), ORDERS, ["qid"], ["tbl"], "ids", without="qid")
 
 
-def parted(spark, d: str) -> DataFrame:
-    rows = candidates(spark, d).withColumn("part", F.pmod("id", F.lit(PARTS)).cast("long"))
-    return sketch.sketch(rows, ORDERS, ["qid", "part"], ["tbl", "slot"])
+def parted(spark, d: str, rows: int | None = 1) -> DataFrame:
+    """Cells of each query's candidates in PARTS parts; row 0 is all that a ranking without a threshold reads."""
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.struct(p.cast("long").alias("part"), F.filter("ids", lambda x: F.pmod(x, F.lit(PARTS)) == p).alias("ids"))))
+    lists = candidates(spark, d).select("qid", "tbl", each.alias("x")).select("qid", "tbl", "x.*")
+    return sketch.sketch(lists, ORDERS, ["qid", "part"], ["tbl"], "ids", rows, without="qid")
 
 
 TOP = "SELECT qid, hh AS id, cnt AS n FROM {} WHERE row = 0 AND cnt > 0"
@@ -235,18 +237,18 @@ TOP = "SELECT qid, hh AS id, cnt AS n FROM {} WHERE row = 0 AND cnt > 0"
 
 @query_(o.with_(*KNN[:-1], o.sketch_sql(ORDERS, "qid, part", PARTED, "o"), o.merge_sql("whole", "cells", "qid", "part"), o.ranked_sql(ORDERS.top_k, "best", TOP.format("whole")), then="SELECT qid, rank, id, n FROM best"))
 def knn_sketch_linear(spark, d):
-    return sketch.sketch_top_k(sketch.linear_merge(parted(spark, d), ["qid"]), ORDERS.top_k)
+    return sketch.sketch_top_k(sketch.linear_merge(parted(spark, d), ["qid"]), ORDERS, ORDERS.top_k)
 
 
 @query_(o.with_(*KNN[:-1], o.sketch_sql(ORDERS, "qid, part", PARTED, "o"), o.merge_sql("half", "(SELECT *, part // 2 AS up FROM cells)", "qid, up", "part"), o.merge_sql("whole", "half", "qid", "up"), o.ranked_sql(ORDERS.top_k, "best", TOP.format("whole")), then="SELECT qid, rank, id, n FROM best"))
 def knn_sketch_tree(spark, d):
-    return sketch.sketch_top_k(sketch.tree_merge(parted(spark, d), ["qid"], PARTS), ORDERS.top_k)
+    return sketch.sketch_top_k(sketch.tree_merge(parted(spark, d), ["qid"], PARTS), ORDERS, ORDERS.top_k)
 
 
 @query_(None)
 def knn_approx_top_k(spark, d):
     """The engine's own mergeable sketch; counts are estimates."""
-    found = candidates(spark, d).groupBy("qid").agg(F.expr(f"approx_top_k(id, {ORDERS.top_k}, 1000)").alias("t"))
+    found = candidates(spark, d, lists=False).groupBy("qid").agg(F.expr(f"approx_top_k(id, {ORDERS.top_k}, 1000)").alias("t"))
     return found.select("qid", F.posexplode("t").alias("rank", "x")).select("qid", "rank", F.col("x.item").alias("id"), F.col("x.count").alias("n"))
 
 
