@@ -39,6 +39,12 @@ def merge_index(index: DataFrame, addressed: DataFrame, cfg: KnnConfig) -> DataF
     return kept.join(seen, ["tbl", "bucket"]).select("tbl", "bucket", "slot", "id", "n_seen")
 
 
+def persisted(index: DataFrame, path: str) -> DataFrame:
+    """The index written to ``path``, a folder a table, and read again: built once for any number of queries."""
+    index.repartition("tbl", "bucket").sortWithinPartitions("tbl", "bucket", "slot").write.mode("overwrite").partitionBy("tbl").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path).select(index.columns)
+
+
 def occupancy(addressed: DataFrame, cfg: KnnConfig) -> DataFrame:
     """Least, greatest and mean share of buckets in use over tables."""
     share = addressed.groupBy("tbl").agg((F.countDistinct("bucket") / 2**cfg.address_bits).alias("share"))

@@ -63,6 +63,6 @@ def batched(asked: DataFrame, index: DataFrame, cfg: KnnConfig, count: int) -> D
     """The queries in ``count`` batches by id, each answered alone, results appended."""
     out = None
     for b in range(count):
-        part = top_by_count(probe(asked.filter(F.pmod(F.expr(f"id div {EVERY}"), F.lit(count)) == b), index), cfg.top_k)
+        part = top_by_count(probe_lists(asked.filter(F.pmod(F.expr(f"id div {EVERY}"), F.lit(count)) == b), index), cfg.top_k)
         out = part if out is None else out.union(part)
     return out

@@ -103,12 +103,15 @@ def range_partition(spark, d):
 def contiguous(ids: DataFrame, parts: int) -> DataFrame:
     """``id, part``: balanced contiguous ranges, the first n mod parts one longer.
 
-    Row numbers come from a range sort: each of its slices counts its rows, and only the counts meet.
+    Row numbers come from counts of slices of PAGE ids, summed within groups of slices, and of groups:
+    a task numbers a slice or sums a group, and one task sums a number for each PAGE * 10,000 ids.
     """
     near = ids.withColumn("slice", F.floor(F.col("id") / PAGE).cast("long"))
     place = F.row_number().over(Window.partitionBy("slice").orderBy("id")) - 1
-    counts = near.groupBy("slice").agg(F.count("*").alias("c"))
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = near.groupBy("slice").agg(F.count("*").alias("c")).withColumn("many", F.floor(F.col("slice") / 10_000).cast("long"))
+    upto = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("many").agg(F.sum("c").alias("c")).select("many", upto(Window.orderBy("many")).alias("above"))
+    before = counts.withColumn("inner", upto(Window.partitionBy("many").orderBy("slice"))).join(groups, "many").select("slice", (F.col("inner") + F.col("above")).alias("before"))
     total = counts.agg(F.sum("c").alias("n"))
     r = near.withColumn("place", place).join(before, "slice").join(F.broadcast(total), how="cross").withColumn("r", F.col("place") + F.col("before"))
     long_, size = f"(n % {parts}) * (n div {parts} + 1)", f"(n div {parts})"
@@ -121,6 +124,45 @@ def file_routing(spark, d):
     return v.orders(spark, d).select("id").distinct().groupBy(file.alias("file")).agg(F.count("*").alias("n"))
 
 
+# --- files, written and read again
+
+LINES = "lines AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS line FROM (SELECT DISTINCT id FROM sets))"
+
+
+@query_(o.with_(SETS, LINES, then=f"SELECT line AS id, CAST(s.id AS VARCHAR) AS label, idx, 1.0::DOUBLE AS val FROM sets s JOIN lines l ON l.id = s.id WHERE line >= {PAGE} AND line < {PAGE + PER_FILE}"))
+def libsvm_files(spark, d):
+    """Orders as libsvm files of PAGE lines, read from line PAGE on."""
+    path = v.scratch(spark, "libsvm")
+    v.write_libsvm(v.orders(spark, d).withColumn("val", F.lit(1.0)), path, PAGE * 3 // 4)
+    rows = v.read_libsvm(spark, path, PAGE, PER_FILE)
+    return rows.select("id", "label", F.explode(F.arrays_zip("indices", "vals")).alias("x")).select("id", "label", F.col("x.indices").alias("idx"), F.col("x.vals").alias("val"))
+
+
+@query_(o.with_(SETS, f"parts AS (SELECT id, id // {PER_FILE} AS part, row_number() OVER (PARTITION BY id // {PER_FILE} ORDER BY id) - 1 AS line FROM (SELECT DISTINCT id FROM sets))",
+    then=f"SELECT CAST(part * {PER_FILE} + line AS BIGINT) AS id, CAST(id AS VARCHAR) AS label, (SELECT count(*) FROM sets s WHERE s.id = parts.id) AS nnz FROM parts"))
+def partitioned_files(spark, d):
+    """Orders in a part for every PER_FILE ids, read by part number and line."""
+    path = v.scratch(spark, "parts")
+    v.write_partitioned(v.orders(spark, d).withColumn("val", F.lit(1.0)), path, "part", PER_FILE)
+    return v.read_partitioned(spark, path, "part", PER_FILE).select("id", "label", F.size("indices").cast("long").alias("nnz"))
+
+
+@query_(f"SELECT CAST(doc_id AS VARCHAR) AS id, length(text) + 1 AS n, md5(':' || translate(text, chr(10) || chr(13), '  ')) AS digest FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS line FROM documents WHERE text IS NOT NULL) WHERE line > {SAMPLE // 5}")
+def text_files(spark, d):
+    """Documents as lines of text files of uneven size, read but for the first lines."""
+    path = v.scratch(spark, "texts")
+    v.write_texts(v.texts(spark, d), path, PAGE // 7)
+    return v.read_texts(spark, path, SAMPLE // 5).select("id", F.length("text").cast("long").alias("n"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query_(o.with_(*KNN, then="SELECT dense_rank() OVER (ORDER BY qid) - 1 AS qid, rank, id FROM knn"))
+def top_k_files(spark, d):
+    """Neighbours as lines of files of uneven size; read back, a query is its line."""
+    path = v.scratch(spark, "topk")
+    v.write_top_k(knn_exact_count(spark, d), path, PAGE // 7)
+    return v.read_top_k(spark, path)
+
+
 # --- text
 
 
@@ -184,7 +226,7 @@ def reservoir_index(spark, d):
 def incremental_index(spark, d):
     """Even orders first, odd ones merged into their index."""
     addr = doph.addressed(v.orders(spark, d), ORDERS)
-    first = index.reservoirs(addr.filter("id % 2 = 0"), ORDERS)
+    first = index.persisted(index.reservoirs(addr.filter("id % 2 = 0"), ORDERS), v.scratch(spark, "index"))
     return index.merge_index(first, addr.filter("id % 2 <> 0"), ORDERS)
 
 
@@ -204,7 +246,8 @@ def knn_exact_count(spark, d):
 @query_(ORACLES["knn_exact_count"])
 def batched_query(spark, d):
     addr, idx = knn_parts(spark, d)
-    return query.batched(addr.filter(F.col("id") % query.EVERY == 0), idx, ORDERS, PARTS)
+    kept = index.persisted(idx, v.scratch(spark, "index"))  # built once, read by each batch
+    return query.batched(addr.filter(F.col("id") % query.EVERY == 0), kept, ORDERS, PARTS)
 
 
 @query_(o.with_(o.sets_sql("grams", o.grams_sql("documents", "doc_id")), o.sets_sql("items", o.grams_sql("benchmark", "item_id")), *o.built(TEXTS, "grams"), o.index_sql(TEXTS), *o.built(TEXTS, "items", "q"),
@@ -245,6 +288,18 @@ def knn_sketch_tree(spark, d):
     return sketch.sketch_top_k(sketch.tree_merge(parted(spark, d), ["qid"], PARTS), ORDERS, ORDERS.top_k)
 
 
+LEAST = 3
+OTHER = " UNION ALL ".join(f"SELECT qid, hh AS id, {r} AS row, {o.mul(f'((hh + 1) & {o.MASK})', m)} >> {32 - ORDERS.sketch_bits} AS cell FROM low" for r, m in enumerate(ORDERS.constants["rows"]) if r)
+
+
+@query_(o.with_(*KNN[:-1], o.sketch_sql(ORDERS, "qid", ITEMS, "o"), f"low AS (SELECT qid, hh FROM cells WHERE row = 0 AND cnt < {LEAST})", f"other AS ({OTHER})",
+    f"other_n AS (SELECT o.qid, o.id, arg_min(c.cnt, o.row) AS n FROM other o JOIN cells c ON c.qid = o.qid AND c.row = o.row AND c.cell = o.cell WHERE c.cnt > {LEAST} GROUP BY 1, 2)",
+    o.ranked_sql(ORDERS.top_k, "best", f"SELECT qid, hh AS id, cnt AS n FROM cells WHERE row = 0 AND cnt >= {LEAST} UNION ALL SELECT qid, id, n FROM other_n"), then="SELECT qid, rank, id, n FROM best"))
+def knn_sketch_threshold(spark, d):
+    """Ids that the first row counts less than LEAST times are judged by the other rows."""
+    return sketch.sketch_top_k(sketch_cells(spark, d), ORDERS, ORDERS.top_k, LEAST)
+
+
 @query_(None)
 def knn_approx_top_k(spark, d):
     """The engine's own mergeable sketch; counts are estimates."""
@@ -260,6 +315,17 @@ def heavy_hitters_users(spark, d):
     return query.ranked(top, ORDERS.top_k).select("rank", "id", "n")
 
 
+STREAM = 5000  # events of a part of the stream
+
+
+@query_(o.with_(o.sketch_sql(ORDERS, "qid, part", f"SELECT 0 AS qid, event_id // {STREAM} AS part, user_id AS item, {{'e': event_id, 'item': user_id}} AS o FROM events", "o"), o.merge_sql("whole", "cells", "qid", "part"), o.ranked_sql(ORDERS.top_k, "best", TOP.format("whole")), then="SELECT rank, id, n FROM best"))
+def heavy_hitters_sketch(spark, d):
+    """Most frequent users by the sketch: a part of the stream is folded by one task, parts are merged in order."""
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.lit(0).alias("qid"), F.expr(f"event_id div {STREAM}").alias("part"), "event_id", F.col("user_id").alias("id"))
+    cells = sketch.sketch(events, ORDERS, ["qid", "part"], ["event_id"], rows=1)
+    return sketch.sketch_top_k(sketch.linear_merge(cells, ["qid"]), ORDERS, ORDERS.top_k).select("rank", "id", "n")
+
+
 @query_(o.with_(SETS, """sz AS (SELECT id, count(*) AS s FROM sets GROUP BY 1), both_ AS (SELECT a.id AS qid, b.id, count(*) AS c FROM sets a JOIN sets b ON a.idx = b.idx AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2),
     j AS (SELECT qid, b.id, round(c / CAST(x.s + y.s - c AS DOUBLE), 6) AS jaccard FROM both_ b JOIN sz x ON x.id = qid JOIN sz y ON y.id = b.id)""",
     then="SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY jaccard DESC, id) - 1 AS INTEGER) AS rank, id, jaccard FROM j) WHERE rank < 10"))
@@ -276,10 +342,10 @@ def recall_at_k(spark, d):
 @query_(None)
 def minhash_lsh_baseline(spark, d):
     """The library's MinHash join of the queries with all orders; empty vectors never occur here."""
-    from pyspark.ml.feature import CountVectorizer, MinHashLSH
+    from pyspark.ml.feature import HashingTF, MinHashLSH
 
     sets = v.orders(spark, d).groupBy("id").agg(F.collect_set(F.col("idx").cast("string")).alias("terms"))
-    counted = CountVectorizer(inputCol="terms", outputCol="features", binary=True, vocabSize=1 << 24).fit(sets).transform(sets)
+    counted = HashingTF(inputCol="terms", outputCol="features", binary=True, numFeatures=1 << 30).transform(sets)  # no vocabulary to collect
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=ORDERS.tables, seed=ORDERS.seed).fit(counted)
     near = model.approxSimilarityJoin(counted.filter(F.col("id") % query.EVERY == 0), counted, 0.9, "distance")
     return near.select(F.col("datasetA.id").alias("qid"), F.col("datasetB.id").alias("id"), F.round("distance", 6).alias("distance")).filter("qid <> id")

@@ -5,20 +5,36 @@ Vectors travel in long form ``(id, idx, val)``; indices are at least 1.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearsieve.functions.scalars import pad_suffix
 
 
+BLOCKS = 100_000  # lists of file blocks of up to this many rows, of some 200 bytes, are broadcast
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value`` of text files in file order, by one count a file block and no global sort."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    block = F.shiftright("at", 33)
-    counts = lines.groupBy(block.alias("block")).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("block", before.alias("start"))  # a row a block
-    return lines.withColumn("block", block).join(F.broadcast(starts), "block").select((F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"), "value")
+    """``line_no, file, line, value`` of text files: ``line_no`` counts all lines, by path and then by place in
+    the file, ``line`` those of the file.
+
+    Lines are counted once for each block of a file and the counts summed by (path, start of the block), whatever order
+    the scan reads blocks in; nothing sorts lines.
+    """
+    lines = spark.read.text(path)
+    few = len(lines.inputFiles()) + 2 * lines.rdd.getNumPartitions() <= BLOCKS  # so many blocks at most
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
+    whole = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a file
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("inner", inner).join(whole, "file").select("file", "start", "first", "inner", "before")
+    found = lines.join(F.broadcast(starts) if few else starts, ["file", "start"])
+    line = F.col("at") - F.col("first") + F.col("inner")
+    return found.select((line + F.col("before")).alias("line_no"), "file", line.alias("line"), "value")
 
 
 def parse_libsvm(lines: DataFrame, id_column: str = "line_no", value: str = "value") -> DataFrame:
@@ -51,11 +67,19 @@ def read_libsvm(spark: SparkSession, path: str, offset: int = 0, limit: int | No
 
 
 def read_partitioned(spark: SparkSession, folder: str, base: str, per_file: int) -> DataFrame:
-    """Files ``base00, base01, ...``: ids are file number * per_file + line in the file."""
-    lines = spark.read.text(f"{folder}/{base}*").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
-    number = F.regexp_extract("file", r"([0-9]+)$", 1).cast("long")
-    place = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
-    return parse_libsvm(lines.select("value", (number * per_file + place).alias("line_no")))
+    """Parts ``base00, base01, ...`` of a folder, files or folders of files in order: ids are part number *
+    per_file + line in the part."""
+    lines = numbered_lines(spark, f"{folder}/*{base}*")
+    lines = lines.withColumn("part", F.regexp_extract("file", f"(?:/|=){base}([0-9]+)(?:/[^/]*)?$", 1).cast("long"))
+    least = lines.groupBy("part").agg(F.min("line_no").alias("least"))  # a row a part
+    numbered = lines.join(F.broadcast(least), "part")
+    return parse_libsvm(numbered.select("value", (F.col("part") * per_file + F.col("line_no") - F.col("least")).alias("line_no")))
+
+
+def write_partitioned(long: DataFrame, folder: str, base: str, per_file: int) -> None:
+    """Lines of ids [k * per_file, (k + 1) * per_file) go to part ``base`` k, by ascending id; overwrites."""
+    lines = libsvm_lines(long).withColumn("file", file_name(F.expr(f"id div {per_file}"), base))
+    lines.repartitionByRange("id").sortWithinPartitions("id").select("file", "line").write.mode("overwrite").partitionBy("file").text(folder)
 
 
 def batches(vectors: DataFrame, size: int) -> DataFrame:
@@ -83,14 +107,22 @@ def libsvm_lines(long: DataFrame, label: Column | None = None) -> DataFrame:
     return own.select("id", line.alias("line"))
 
 
-def write_libsvm(long: DataFrame, path: str) -> None:
-    libsvm_lines(long).select("line").write.mode("overwrite").text(path)
+def write_libsvm(long: DataFrame, path: str, per_file: int = 0) -> None:
+    """A line a vector, by ascending id, at most ``per_file`` in a file if that is not 0; overwrites."""
+    libsvm_lines(long).orderBy("id").select("line").write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
+
+
+def write_texts(texts: DataFrame, path: str, per_file: int = 0) -> None:
+    """Lines ``id:text`` of ``texts(id, text)`` by ascending id; line ends in a text become spaces; nulls are left out; overwrites."""
+    line = F.concat(F.col("id").cast("string"), F.lit(":"), F.translate("text", "\n\r", "  "))
+    texts.filter("text IS NOT NULL").orderBy("id").select(line.alias("line")).write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
 
 
-def write_top_k(results: DataFrame, path: str) -> None:
-    """A line a query, its ids by rank; overwrites."""
+def write_top_k(results: DataFrame, path: str, per_file: int = 0) -> None:
+    """A line a query by ascending qid, its ids by rank; overwrites."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", "id")))
-    results.groupBy("qid").agg(ranked.alias("r")).select("qid", F.concat_ws(" ", F.transform("r", lambda r: r["id"].cast("string"))).alias("line")).orderBy("qid").select("line").write.mode("overwrite").text(path)
+    line = F.concat_ws(" ", F.transform("r", lambda r: r["id"].cast("string")))
+    results.groupBy("qid").agg(ranked.alias("r")).select("qid", line.alias("line")).orderBy("qid").select("line").write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
 
 
 def append_top_k(results: DataFrame, path: str) -> None:
@@ -98,13 +130,25 @@ def append_top_k(results: DataFrame, path: str) -> None:
 
 
 def read_top_k(spark: SparkSession, path: str, queries: int | None = None, k: int | None = None) -> DataFrame:
-    """``qid, rank, id``; qid is the line number. ``queries`` and ``k``, if given, must fit the file."""
+    """``qid, rank, id``; qid is the line's number in the order of ``numbered_lines``, in which ``write_top_k``
+    writes. ``queries`` and ``k``, if given, must fit the files."""
     rows = numbered_lines(spark, path).select(F.col("line_no").alias("qid"), F.posexplode(F.split(F.trim("value"), " ")).alias("rank", "id")).withColumn("id", F.col("id").cast("long"))
     if queries is not None and k is not None and rows.count() != queries * k:
         raise ValueError("the file does not hold queries * k ids")
     return rows
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all machines share; where that is unset in a local
+    session, a temporary folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="nearsieve-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The set of parts of each order."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearsieve.functions import scalars
-from nearsieve.operators import metrics
+from nearsieve.operators import grams, metrics
 from nearsieve.plans import catalogue
 from nearsieve.sources import vectors
 
@@ -39,6 +39,41 @@ def test_round_trips(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/p").count() == 12
 
 
+def test_lines_are_numbered_by_path_whatever_is_read_first(spark, tmp_path):
+    lines = []
+    for i in range(10):  # files of growing size, the largest of which a scan reads first
+        own = [f"{i} {j + 1}:1" + " 7:1" * i for j in range(20 * i + 1)]
+        (tmp_path / f"f{i}").write_text("\n".join(own) + "\n")
+        lines += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # several blocks a file
+    try:
+        rows = vectors.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in sorted(rows, key=lambda r: r.line_no)] == lines
+    assert sorted(r.line_no for r in rows) == list(range(len(lines)))
+    found = vectors.read_libsvm(spark, str(tmp_path), 30, 200).collect()
+    assert {r.id: r.label for r in found} == {n: lines[n].split()[0] for n in range(30, 230)}
+    top = spark.createDataFrame([(q, r, 10 * q + r) for q in range(80) for r in range(1 + q % 9)], "qid long, rank int, id long")
+    vectors.write_top_k(top.repartition(7), f"{tmp_path}/t", 6)
+    assert sorted(map(tuple, vectors.read_top_k(spark, f"{tmp_path}/t").collect())) == sorted(map(tuple, top.collect()))
+
+
+def test_grams_equal_the_expression(spark):
+    texts = [(1, "abcdef"), (2, None), (3, ""), (4, "abc"), (5, "é😀xyzabcdé" * 3), (6, "aaaaaaaaaa"), (1, "defghi"), (None, "xyzzy!"), (7, "".join(chr(0x4E00 + i * 7919 % 5000) for i in range(6000)))]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    own = F.array_distinct(F.transform(scalars.char_ngrams(F.col("text"), 5), scalars.gram_hash))
+    plain = {tuple(r) for r in rows.select("id", F.explode(own).alias("idx")).collect()}
+    got = [tuple(r) for r in grams.features(rows).collect()]
+    assert set(got) == plain
+    sizes = {r.id: r.n for r in grams.set_sizes(rows).filter("n > 0").collect()}
+    assert sizes == {i: sum(x[0] == i for x in plain) for i in {x[0] for x in plain}}
+    least = {}
+    for i, x in plain:
+        least[i, x >> 11 & 1048575] = min(x, least.get((i, x >> 11 & 1048575), x))
+    assert sorted(map(tuple, grams.bucket_minima(rows, 11, 20).collect()), key=str) == sorted(((*k, x) for k, x in least.items()), key=str)
+
+
 def test_scalars(spark):
     rows = spark.createDataFrame([("abc",), ("abcdef",), (None,), ("é😀xyz",)], "t string").select(scalars.char_ngrams(F.col("t"), 5).alias("g")).collect()
     assert [r.g for r in rows] == [[], ["abcde", "bcdef"], [], ["é😀xyz"]]
