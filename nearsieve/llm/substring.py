@@ -6,7 +6,12 @@ document, then position), a star instead of all pairs. The links of a document
 with an anchor document become blocks on diagonals, blocks are chained in
 order with gap costs by a Fenwick tree of prefix maxima, the gaps of a chain are
 aligned word by word, a chain that isn't alike enough is split at its worst gaps,
-and ends are drawn out past changed words. Aligned pieces of a document that touch are one passage, whichever anchors they have.
+and ends are drawn out past changed words.
+
+A star's centre may share less with two documents than they do with each other. Where the seeds of a passage
+lead to different anchors, or end before it does, the passage's runs of PASSAGE words are seeds of a second star, whose
+centre has the whole run; its links are chained and aligned like the others. A run that is left out there is
+covered by the seeds of an anchor that has all of it, so no exact run of PASSAGE words is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ REACH = 48  # words beyond a chain's ends that are looked at
 DROP = 8  # an end is drawn out until its equal words less its changes fall by more than this
 LEAST = 2 * SEED  # words of the blocks of a pair, or of a chain, that is looked at
 GRID = 32  # slices begin and end at multiples of this, so that chains share them
-SMALL = 200_000  # lists of documents of up to this many rows (of some 100 bytes) are broadcast
+SMALL = 16 << 20  # lists of documents of up to about this many bytes are broadcast
 
 
 def minimizers(words: Words, k: int = SEED, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +83,7 @@ def chain(s1: np.ndarray, s2: np.ndarray, n: np.ndarray) -> list[list[int]]:
     tree: list[tuple[float, int]] = [(-np.inf, -1)] * (len(ends) + 1)
     score, back = n.astype(float), np.full(m, -1)
     enter, waiting = np.argsort(e1, kind="stable"), 0
+    ended = e1[enter]
     for j in np.lexsort((s2, s1)):
         while waiting < m and e1[enter[waiting]] <= s1[j]:
             i = int(enter[waiting])
@@ -92,7 +98,13 @@ def chain(s1: np.ndarray, s2: np.ndarray, n: np.ndarray) -> list[list[int]]:
             at -= at & -at
         gain = found[0] - GAP_COST * (s1[j] + s2[j])
         i = found[1]
-        if i >= 0 and gain > 0 and s1[j] - e1[i] <= GAP and s2[j] - e2[i] <= GAP:
+        if i >= 0 and gain > 0 and max(s1[j] - e1[i], s2[j] - e2[i]) > GAP:
+            # the best one is too far away: the best of those that ended lately
+            near = enter[int(np.searchsorted(ended, s1[j] - GAP)) : waiting]
+            near = near[(e2[near] <= s2[j]) & (e2[near] >= s2[j] - GAP)]
+            i = int(near[np.argmax(score[near] + GAP_COST * (e1[near] + e2[near]))]) if len(near) else -1
+            gain = score[i] + GAP_COST * (e1[i] + e2[i] - s1[j] - s2[j])
+        if i >= 0 and gain > 0:
             score[j] += gain
             back[j] = i
     out, used = [], np.zeros(m, bool)
@@ -125,32 +137,66 @@ def common(x: list, y: list) -> int:
     return 0
 
 
-def blocks_of(doc: np.ndarray, anchor: np.ndarray, pos: np.ndarray, apos: np.ndarray):
-    """Seeds of each pair that follow each other on one diagonal, joined: pair starts, and blocks."""
+def blocks_of(doc: np.ndarray, anchor: np.ndarray, pos: np.ndarray, apos: np.ndarray, n: int = SEED):
+    """Seeds of ``n`` words of each pair that follow each other on one diagonal, joined: pair starts, and blocks."""
     diagonal = pos - apos
     order = np.lexsort((pos, diagonal, anchor, doc))
     doc, anchor, pos, apos, diagonal = (c[order] for c in (doc, anchor, pos, apos, diagonal))
     pair = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])
     new = pair.copy()
-    new[1:] |= (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > SEED)
+    new[1:] |= (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > n)
     at = np.flatnonzero(new)
     end = np.append(at[1:], len(pos)) - 1
-    length = pos[end] - pos[at] + SEED
+    length = pos[end] - pos[at] + n
     return doc[at], anchor[at], pos[at], apos[at], length, np.flatnonzero(pair[at])
 
 
+def mixed(doc: np.ndarray, anchor: np.ndarray, pos: np.ndarray, apos: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """``(doc, from, to)`` in words: where a run of ``least`` words could lie all of whose seeds repeat, but which is not
+    covered by seeds of one anchor and diagonal. Neighbouring seeds are WINDOW words apart at most, so a run
+    begins and ends less than that beyond its own seeds."""
+    order = np.lexsort((pos, doc))
+    doc, anchor, pos, diagonal = doc[order], anchor[order], pos[order], (pos - apos)[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > WINDOW)])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(pos)) - 1
+    low, high = np.maximum(pos[at] - WINDOW + 1, 0), pos[last] + SEED + WINDOW - 1
+    run = np.cumsum(new) - 1
+    turn = np.flatnonzero(~new[1:] & ((anchor[1:] != anchor[:-1]) | (diagonal[1:] != diagonal[:-1])))
+    # runs of words that neither end with the seeds before an edge nor begin with those after it
+    f = np.concatenate([low, pos[turn] + SEED + 1 - least, pos[last] + SEED + 1 - least])
+    t = np.concatenate([pos[at] - 1 + least, pos[turn + 1] - 1 + least, high])
+    of = np.concatenate([np.arange(len(at)), run[turn], np.arange(len(at))])
+    f, t = np.maximum(f, low[of]), np.minimum(t, high[of])
+    order = np.lexsort((f, of))
+    out: list[tuple[int, int, int]] = []
+    for i in order[(t - f)[order] >= least].tolist():
+        name = int(doc[at[of[i]]])
+        if out and out[-1][0] == name and f[i] <= out[-1][2]:
+            out[-1] = (name, out[-1][1], max(int(t[i]), out[-1][2]))
+        else:
+            out.append((name, int(f[i]), int(t[i])))
+    return out
+
+
 CHAINS = "doc long, anchor long, f1 int, t1 int, f2 int, t2 int, blocks array<int>"
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chains(n: int, search: int):
+    """Chains of links by seeds of ``n`` words, sorted by document. If ``search`` is not 0, links of a document
+    with itself mark its own first occurrences, and rows with a null anchor say where ``mixed`` runs of that many words may lie."""
+
     def solve(columns: list[np.ndarray]):
-        doc, anchor, s1, s2, n, starts = blocks_of(*columns)
-        out = []
-        total = np.add.reduceat(n, starts) if len(starts) else n
+        out = [(d, None, f, t, 0, 0, []) for d, f, t in mixed(*columns, search)] if search else []
+        columns = [c[columns[0] != columns[1]] for c in columns]
+        if not len(columns[0]):
+            return out
+        doc, anchor, s1, s2, size, starts = blocks_of(*columns, n)
+        total = np.add.reduceat(size, starts)
         for p, (low, high) in enumerate(zip(starts, np.append(starts[1:], len(doc)), strict=True)):
             if total[p] < LEAST:
                 continue
-            a, b, m = s1[low:high], s2[low:high], n[low:high]
+            a, b, m = s1[low:high], s2[low:high], size[low:high]
             for path in chain(a, b, m):
                 first, last = path[0], path[-1]
                 flat = [int(v) for i in path for v in (a[i], b[i], m[i])]
@@ -165,26 +211,52 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32())]
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in CHAINS.split(", ")])
 
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "anchor", "pos", "apos")]
-        if held:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        whole = int(np.searchsorted(columns[0], columns[0][-1]))  # the last document may go on
-        held = [c[whole:] for c in columns]
-        if whole and (rows := solve([c[:whole] for c in columns])):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "anchor", "pos", "apos")]
+            if held:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            whole = int(np.searchsorted(columns[0], columns[0][-1]))  # the last document may go on
+            held = [c[whole:] for c in columns]
+            if whole and (rows := solve([c[:whole] for c in columns])):
+                yield batch_of(rows)
+        if held and len(held[0]) and (rows := solve(held)):
             yield batch_of(rows)
-    if held and len(held[0]) and (rows := solve(held)):
-        yield batch_of(rows)
 
+    return run
 
-def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, f, t, words``: hashes of the words from f to t of each document in ``wanted(doc, f, t)``."""
+
+def _with_spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, text, spans`` of the documents in ``wanted(doc, f, t)``."""
     lists = cut(wanted.groupBy("doc").agg(F.collect_set(F.struct("f", "t")).alias("spans")), "wanted")
-    if lists.count() <= SMALL:
+    size = lists.agg(F.sum(F.size("spans") * 32 + 64)).first()[0] or 0
+    if size <= SMALL:
         lists = F.broadcast(lists)
+    return docs.join(lists, docs["doc_id"] == lists["doc"]).select("doc", "text", "spans")
+
+
+def _long_seeds(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``seed, doc, pos`` of all runs of ``n`` words from f to t of each document in ``wanted(doc, f, t)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            words = Words(batch.column("text"))
+            h, at = words.shingles(n)
+            for i, (doc, spans) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                low = int(words.first[i])
+                for x in spans:
+                    a, b = np.searchsorted(at, [low + x["f"], min(low + x["t"], int(words.first[i + 1])) - n + 1])
+                    if a < b:
+                        yield pa.record_batch([pa.array(h[a:b].view(np.int64)), pa.array(np.full(b - a, doc)), pa.array((at[a:b] - low).astype(np.int32))], ["seed", "doc", "pos"])
+
+    return _with_spans(docs, wanted).mapInArrow(run, "seed long, doc long, pos int")
+
+
+def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, f, t, words``: hashes of the words from f to t of each document in ``wanted(doc, f, t)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -197,7 +269,23 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 d, f, t, w = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(d, pa.int64()), pa.array(f, pa.int32()), pa.array(t, pa.int32()), pa.array(w, pa.list_(pa.int64()))], ["doc", "f", "t", "words"])
 
-    return docs.join(lists, docs["doc_id"] == lists["doc"]).select("doc", "text", "spans").mapInArrow(run, "doc long, f int, t int, words array<long>")
+    return _with_spans(docs, wanted).mapInArrow(run, "doc long, f int, t int, words array<long>")
+
+
+def _anchors(found: DataFrame, label: str) -> DataFrame:
+    """``seed, anchor, apos``: the first occurrence of each seed that several documents have."""
+    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("z")).filter("a.doc <> z")
+    # written first: an aggregate that feeds the join directly would keep a frequent seed's rows from being split
+    return cut(first.select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), label)
+
+
+def _joined(pieces: DataFrame, *keys: str) -> DataFrame:
+    """Pieces (start, end) of equal keys that touch, as one each."""
+    order = Window.partitionBy(*keys).orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = pieces.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    partner = [] if "partner" in keys else [F.min("partner").alias("partner")]
+    return marked.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *partner).drop("run")
 
 
 PIECES = "doc long, start int, end int, partner long"
@@ -291,6 +379,7 @@ def _word_count(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """``doc_id, start, end, partner``: passages, in words from start to end (exclusive), of at least
     ``least`` words that some other document has too; partner is the least such document found.
+    Passages of a document that touch are one row, which is longer than what any one partner has.
 
     Words are letters and digits, case folded. Documents of one and the same
     text are one to the search: the least doc_id of them stands for all, and
@@ -305,7 +394,10 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     rows = rows.withColumn("digest", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    sizes = cut(cut(_word_count(rows), "sizes").distinct(), "texts")
+    every = cut(_word_count(rows), "sizes")
+    sizes = cut(every.distinct(), "texts")
+    if every.count() != sizes.count():
+        rows = rows.dropDuplicates(["doc_id", "digest"])
     firsts = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("doc_id").alias("last"), F.min("n").alias("n"))
     firsts = cut(firsts, "classes")
     # all texts but the first of each class are left out of the search
@@ -314,11 +406,13 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
         others = F.broadcast(others)
     single = rows.join(others, (F.col("doc_id") == F.col("drop_id")) & (F.col("digest") == F.col("drop_digest")), "left_anti").select("doc_id", "text")
     found = seeds(single)
-    anchors = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("z")).filter("a.doc <> z").select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos"))
-    # written first: an aggregate that feeds the join directly would keep a frequent seed's rows from being split
-    anchors = cut(anchors, "anchors")
-    links = found.join(anchors, "seed").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
-    chains = cut(links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains, CHAINS), "chains")
+    # an anchor's own seeds come along, as links with itself
+    links = found.join(_anchors(found, "anchors"), "seed").select("doc", "anchor", "pos", "apos")
+    first = cut(links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains(SEED, least), CHAINS), "chains")
+    runs = cut(_long_seeds(single, first.filter("anchor IS NULL").select("doc", F.col("f1").alias("f"), F.col("t1").alias("t")), least), "runs")
+    links = runs.join(_anchors(runs, "anchors"), "seed").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
+    second = links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains(least, 0), CHAINS)
+    chains = cut(first.filter("anchor IS NOT NULL").union(second).dropDuplicates(["doc", "anchor", "f1", "t1", "f2", "t2", "blocks"]), "chains")
     ends = chains.select(F.col("doc").alias("doc"), F.col("f1").alias("f"), F.col("t1").alias("t")).union(chains.select("anchor", "f2", "t2")).distinct()
     parts = cut(_slices(single, ends), "slices")
     own = parts.select(F.col("doc"), F.col("f").alias("f1"), F.col("t").alias("t1"), F.col("words").alias("x"))
@@ -330,11 +424,10 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     copies = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner"))
     # an id's copy among other texts is a piece like those of the others; at most a row for each word of a document
     pieces = pieces.union(copies.join(several, "doc_id", "left_semi"))
-    pieces = cut(pieces.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")), "pieces")
-    order = Window.partitionBy("doc").orderBy("start")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = pieces.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = marked.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner")).filter(F.col("end") - F.col("start") >= least)
+    # the pieces that a document shares with one partner make a passage; passages that touch are one row
+    shared = _joined(pieces, "doc", "partner").filter(F.col("end") - F.col("start") >= least)
+    shared = cut(shared.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")), "pieces")
+    merged = _joined(shared, "doc")
     copies = copies.join(several, "doc_id", "left_anti")
     alone = merged.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
     return alone.select(F.col("doc").alias("doc_id"), "start", "end", "partner").union(copies)

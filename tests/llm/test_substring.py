@@ -20,17 +20,15 @@ def exact_windows(rows, n=50):
 
 def test_chain_equals_quadratic_search():
     r = random.Random(1)
-    for _ in range(40):
+    for turn in range(60):
         m = r.randint(1, 25)
-        s1, s2 = np.array([r.randint(0, 90) for _ in range(m)]), np.array([r.randint(0, 90) for _ in range(m)])
+        far = 90 if turn % 2 else 200
+        s1, s2 = np.array([r.randint(0, far) for _ in range(m)]), np.array([r.randint(0, far) for _ in range(m)])
         n = np.array([r.randint(8, 14) for _ in range(m)])
         score = [float(x) for x in n]
         for j in np.lexsort((s2, s1)):
             gaps = [(s1[j] - s1[i] - n[i], s2[j] - s2[i] - n[i], i) for i in range(m)]
-            best = max([score[i] - substring.GAP_COST * (a + b) for a, b, i in gaps if a >= 0 and b >= 0], default=0)
-            ok = [i for a, b, i in gaps if a >= 0 and b >= 0 and score[i] - substring.GAP_COST * (a + b) == best]
-            if best > 0 and all(s1[j] - s1[i] - n[i] <= substring.GAP and s2[j] - s2[i] - n[i] <= substring.GAP for i in ok):
-                score[j] += best
+            score[j] += max([0, *(score[i] - substring.GAP_COST * (a + b) for a, b, i in gaps if 0 <= a <= substring.GAP and 0 <= b <= substring.GAP)])
         found = substring.chain(s1, s2, n)
         assert sorted(i for p in found for i in p) == list(range(m))
         top = found[0]
@@ -40,6 +38,11 @@ def test_chain_equals_quadratic_search():
             assert s1[b] >= s1[a] + n[a] and s2[b] >= s2[a] + n[a]
 
 
+def test_a_nearer_block_is_chained_if_the_best_is_too_far():
+    s1, s2, n = np.array([0, 120, 150]), np.array([0, 400, 430]), np.array([90, 8, 8])
+    assert [1, 2] in substring.chain(s1, s2, n)
+
+
 def test_common_is_the_longest_subsequence():
     r = random.Random(2)
     for _ in range(200):
@@ -69,7 +72,7 @@ def found_in(texts, module=substring):
     covered = [np.zeros(k + 1, bool) for k in np.diff(words.first)]
     if links:
         cols = [pa.array(c) for c in zip(*links, strict=True)]
-        for batch in module._chains(iter([pa.record_batch(cols, ["doc", "anchor", "pos", "apos"])])):
+        for batch in module._chains(module.SEED, 0)(iter([pa.record_batch(cols, ["doc", "anchor", "pos", "apos"])])):
             rows = batch.to_pylist()
             for r in rows:
                 for side, doc, f, t in (("x", r["doc"], r["f1"], r["t1"]), ("y", r["anchor"], r["f2"], r["t2"])):
@@ -137,6 +140,51 @@ def test_passages(spark, documents, prose):
     assert substring.repeated_passages(documents([])).count() == 0
 
 
+def test_a_passage_whose_bits_others_have(spark, documents, prose):
+    """Every seed of the shared passage leads to a document that has only a few words of it."""
+    shared = prose(64, 980).split()
+    bits = [(i, f"{prose(30, 1000 + i)} {' '.join(shared[6 * i : 6 * i + 11])} {prose(30, 1100 + i)}") for i in range(10)]
+    between = [(501 + i, f"{prose(30, 1200 + i)} {' '.join(shared[6 * i : 6 * i + 30])} {prose(30, 1300 + i)}") for i in range(6)]
+    for more in ([], between):
+        rows = [*bits, *more, (500, f"{prose(50, 981)} {' '.join(shared)} {prose(20, 982)}"), (600, f"{prose(70, 983)} {' '.join(shared)}"), (600, f"{prose(70, 983)} {' '.join(shared)}")]
+        found = sorted(map(tuple, substring.repeated_passages(documents(rows)).collect()))
+        assert [r[0] for r in found] == [500, 600] and [r[3] for r in found] == [600, 500]
+        assert abs(found[0][1] - 50) <= 2 and abs(found[0][2] - 114) <= 2 and abs(found[1][1] - 70) <= 2 and abs(found[1][2] - 134) <= 2
+
+
+def test_pieces_of_different_partners_make_no_passage(spark, documents, prose):
+    one, two = prose(30, 990), prose(30, 991)
+    rows = [(1, f"{prose(40, 992)} {one} {prose(40, 993)}"), (2, f"{prose(40, 994)} {two} {prose(40, 995)}"), (3, f"{prose(40, 996)} {one} {two} {prose(40, 997)}")]
+    assert substring.repeated_passages(documents(rows)).count() == 0
+
+
+def test_every_exact_run_is_covered_and_every_passage_is_shared(spark, documents, prose):
+    r, pool = random.Random(4), [prose(90, 1400 + i).split() for i in range(12)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(r.randint(1, 4)):
+            text += prose(r.randint(10, 40), 1500 + 10 * i + len(text)).split()
+            p = r.choice(pool)
+            low = r.randint(0, 60)
+            text += p[low : low + r.randint(5, 90)]
+        rows.append((i, " ".join(text)))
+    found = [tuple(x) for x in substring.repeated_passages(documents(rows)).collect()]
+    own = {}
+    for i, s, e, _ in found:
+        own.setdefault(i, []).append((s, e))
+    for i, p in exact_windows(rows):
+        assert any(s <= p and p + 50 <= e for s, e in own.get(i, []))
+    words = {i: t.split() for i, t in rows}
+    runs = {}  # which documents have a run of five words
+    for i, w in words.items():
+        for p in range(len(w) - 4):
+            runs.setdefault(tuple(w[p : p + 5]), set()).add(i)
+    for i, s, e, partner in found:  # the partner has most of some 50 words of the passage
+        near = [partner in runs[tuple(words[i][p : p + 5])] for p in range(s, e - 4)]
+        assert e - s >= 50 and max(sum(near[p : p + 46]) for p in range(max(1, len(near) - 45))) >= 30
+
+
 def test_an_id_of_several_texts_is_searched_by_each(spark, documents, prose):
     copy, shared = prose(80, 1008), prose(60, 951)  # the copy has the least digest
     rows = [(3, copy), (7, copy), (9, copy), (20, f"{prose(100, 952)} {shared}")]
