@@ -6,8 +6,9 @@ distance to it. Pivots divide the space into cells. From each cell's summary
 (its size and the k least distances of its rows to the pivot) every group of
 queries, those of one cell, derives a distance within which its k results must
 lie; the triangle inequality then says which rows of a cell could be that near,
-and only those are sent to the group. Groups are solved locally in blocks of
-rows, and the k best of each block are merged.
+and only those are sent to the group. Cells of queries that need much the same rows are
+one group, as long as that sends fewer rows in all. Rows are dealt to blocks by their cells, and a group's
+queries go to the blocks of cells that it needs. Each block is solved locally, and the k best of each are merged.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from pyspark.sql import functions as F
 from nearsieve.llm.env import cut, read_table
 
 SCALE, TOP, EVERY = 256.0, 5, 50
-PIVOTS, SAMPLE = 48, 4096  # pivots, and the rows (by a hash of vec_id) among which they are chosen
-QUERIES, ROWS = 512, 16_384  # queries of a group, and rows of a block, that one task solves at a time
+PIVOTS, MOST_PIVOTS, SAMPLE = 48, 512, 4096  # pivots (a quarter of the root of the rows, within these), and the rows (by a hash of vec_id) among which they are chosen
+QUERIES, ROWS = 4096, 16_384  # queries of a group, and rows of a block, that one task solves at a time
+CELLS = 1 << 21  # scores that are worked out at a time
 
 
 def quantized(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
-    """``vec_id, v``: components floor(scale * x) as long. Rows with a null id, a null vector, or a null,
-    non-finite or (scaled) over-large component (2^31) are left out; so are vectors without components."""
+    """``vec_id, v``: components floor(scale * x), whole numbers as doubles, which hold them exactly. Rows with a null
+    id, a null vector, or a null or non-finite component are left out; a vector without components takes part."""
     x = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL AND size(x) > 0")
-    ok = F.forall("x", lambda c: F.coalesce(F.abs(c * scale) < 2.0**31, F.lit(False)))
-    return rows.filter(ok).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
+    ok = F.forall("x", lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))  # a NaN is greater than any number
+    whole = F.transform("x", lambda c: F.when(F.abs(c * scale) < 2.0**62, F.floor(c * scale).cast("double")).otherwise(c * scale))  # so large a double is whole
+    return rows.filter(ok).select("vec_id", whole.alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -78,10 +81,49 @@ def bounds(pivots: np.ndarray, query_radius: dict[int, float], nearest: dict[int
     return out
 
 
-def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
+def scores(q: np.ndarray, x: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Exact integer inner products, 0 where ``own`` says that a pair is none. Sums that could pass 2^53 are worked out in Python's integers; one that a
+    long can't hold raises an OverflowError, as no score could be returned for it."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    return (q @ x.T).astype(np.int64) if most < 2.0**53 else q.astype(np.int64) @ x.astype(np.int64).T
+    if most < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    whole = lambda m: np.array([[int(c) for c in r] for r in m.tolist()], object).reshape(m.shape)
+    found = whole(q) @ whole(x).T
+    if own is not None:
+        found[own] = 0
+    return found.astype(np.int64)
+
+
+def grouped(need: dict[int, set[int]], asks: dict[int, int], rows: dict[int, int], most: int) -> list[list[int]]:
+    """Query cells put together, at most ``most`` queries in a group of several, wherever that sends fewer rows.
+
+    ``need``: the data cells of each query cell; ``asks`` and ``rows``: queries and rows of cells.
+    """
+    sent = lambda cells: sum(rows[c] for c in cells)
+    groups: list[tuple[list[int], set[int], int]] = []
+    for a in sorted(need, key=lambda a: (-sent(need[a]), a)):
+        gains = [(sent(cells) + sent(need[a]) - sent(cells | need[a]), -i) for i, (_, cells, n) in enumerate(groups) if n + asks[a] <= most]
+        gain, at = max(gains, default=(0, 0))
+        if gain > 0:
+            members, cells, n = groups[-at]
+            groups[-at] = ([*members, a], cells | need[a], n + asks[a])
+        else:
+            groups.append(([a], set(need[a]), asks[a]))
+    return [g[0] for g in groups]
+
+
+def dealt_blocks(rows: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """First block and number of blocks of each cell; small neighbouring cells share one of at most ``most`` rows."""
+    out, block, held = {}, 0, 0
+    for c in sorted(rows):
+        parts = -(-rows[c] // most)
+        if held and (parts > 1 or held + rows[c] > most):
+            block, held = block + 1, 0
+        out[c] = (block, max(1, parts))
+        held += rows[c]
+        if parts > 1:
+            block, held = block + parts, 0
+    return out
 
 
 def best(score: np.ndarray, qid: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,11 +146,11 @@ def best(score: np.ndarray, qid: np.ndarray, vid: np.ndarray, k: int) -> tuple[n
 RESULT = "query_id long, vec_id long, score long"
 
 
-def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, pivots: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose vec_id is divisible by ``every``, the
     ``k`` other rows of highest inner product (all, if fewer), ties to the smaller vec_id.
 
-    Vectors of different lengths are compared over zeros. Rows that
+    Vectors of different lengths are compared over zeros, so one without components scores 0 with all. Rows that
     ``quantized`` leaves out take no part. Rows that repeat a vec_id are
     candidates each, except to the query of that id, which is searched once
     for each of its different vectors (the least by value). An empty table
@@ -116,14 +158,19 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, pivots: int = PI
     """
     spark = vectors.sparkSession
     rows = cut(quantized(vectors), "vectors")
-    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     width, longest, count = rows.agg(F.max(F.size("v")), F.max(size), F.count("*")).first()
-    if not count:
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, int(count**0.5) // 4))
+    if not count or not rows.filter(F.col("vec_id") % every == 0).head(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows
+    if not np.isfinite(longest):
+        raise OverflowError("a vector is too long for scores in a long")
     known = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         known[i, : len(r.v)] = r.v
+    width = max(width, 1)
+    known = np.pad(known, ((0, 0), (0, width - known.shape[1])))
     centre = spark.sparkContext.broadcast(spread_out(lifted(known, longest), pivots))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +187,7 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, pivots: int = PI
                 ["vec_id", "v", "cell", "far", "ask", "ask_far"],
             )
 
-    placed = cut(rows.mapInArrow(assign, "vec_id long, v array<long>, cell int, far double, ask int, ask_far double"), "cells")
+    placed = cut(rows.mapInArrow(assign, "vec_id long, v array<double>, cell int, far double, ask int, ask_far double"), "cells")
     # summaries: a few numbers a cell
     # a query's own rows, as many as share its id, may be among the nearest; ids that repeat very often prune nothing
     need = k + (placed.groupBy("vec_id").count().agg(F.max("count")).first()[0])
@@ -150,23 +197,33 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, pivots: int = PI
     near: dict[int, list[float]] = {}
     for r in ranked.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("far")), 1, held).alias("far")).collect():  # a row a cell
         near[r.cell] = r.far
-    asking = {r.ask: (r.far, r.n) for r in placed.filter("ask >= 0").groupBy("ask").agg(F.max("ask_far").alias("far"), F.count("*").alias("n")).collect()}
+    cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}  # a row a cell
+    asking = {r.ask: (r.far, r.n) for r in placed.filter("ask >= 0").groupBy("ask").agg(F.max("ask_far").alias("far"), F.countDistinct("vec_id").alias("n")).collect()}
     reach = bounds(centre.value, {c: x[0] for c, x in asking.items()}, near, need)
     between = distances(centre.value, centre.value)
     slack = 1e-6 * (1 + np.sqrt(longest))
-    # a row at distance far from its pivot can serve a group only if far >= lower (and every cell beyond reach has none)
-    lower = [(int(a), int(c), float(between[a, c] - asking[a][0] - reach[a] - slack), float(reach[a] + asking[a][0] + between[a, c] + slack), -(-asking[a][1] // QUERIES)) for a in asking for c in near]
-    plan = F.broadcast(spark.createDataFrame(lower, "goes int, cell int, least double, most double, parts int"))  # at most PIVOTS squared
-    blocks = max(1, -(-count // ROWS))
-    parts = F.broadcast(spark.createDataFrame([(int(a), -(-n // QUERIES)) for a, (_, n) in asking.items()], "ask int, parts int")) if asking else None
-    if parts is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # rows go to every group that they could serve, dealt to blocks; queries go to every block of their group
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
+    # a row at distance far from its pivot can serve a cell of queries only if least <= far <= most
+    window = {(a, c): (float(between[a, c] - asking[a][0] - reach[a] - slack), float(reach[a] + asking[a][0] + between[a, c] + slack)) for a in asking for c in cells}
+    useful = {a: {c for c in cells if window[a, c][0] <= cells[c].high and window[a, c][1] >= cells[c].low} for a in asking}
+    groups = grouped(useful, {a: n for a, (_, n) in asking.items()}, {c: r.n for c, r in cells.items()}, QUERIES)
+    places = dealt_blocks({c: r.n for c, r in cells.items()}, ROWS)
+    plan, sends = [], []
+    for g, members in enumerate(groups):
+        parts = -(-sum(asking[a][1] for a in members) // QUERIES)
+        wanted = set().union(*(useful[a] for a in members))
+        for c in wanted:
+            own = [window[a, c] for a in members if c in useful[a]]
+            plan.append((g, int(c), min(w[0] for w in own), max(w[1] for w in own), parts, *places[c]))
+        blocks = sorted({b for c in wanted for b in range(places[c][0], places[c][0] + places[c][1])})
+        sends += [(int(a), g, parts, blocks) for a in members]
+    plan = F.broadcast(spark.createDataFrame(plan, "goes int, cell int, least double, most double, parts int, first int, several int"))  # at most pivots squared
+    sends = spark.createDataFrame(sends, "ask int, goes int, parts int, blocks array<int>")
+    # rows go to every group that they could serve; queries go to every block of their group
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("several")).cast("int")
     data = placed.join(plan, "cell").filter("far >= least AND far <= most").select(F.col("goes").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), block.alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
-    asks = placed.filter("ask >= 0").groupBy("vec_id").agg(F.min(F.struct("v", "ask")).alias("x")).select("vec_id", "x.v", "x.ask").join(parts, "ask")
+    asks = placed.filter("ask >= 0").groupBy("vec_id").agg(F.min(F.struct("v", "ask")).alias("x")).select("vec_id", "x.v", "x.ask").join(sends, "ask")
     sub = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    asks = asks.select("ask", sub.alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
+    asks = asks.select(F.col("goes").alias("ask"), sub.alias("sub"), F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
     dealt = asks.union(data).repartition("ask", "sub", "block").sortWithinPartitions("ask", "sub", "block", "kind")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +249,11 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, pivots: int = PI
                     group, qid, q, found = tuple(key[s]), np.zeros(0, np.int64), np.zeros((0, width)), []
                 m = s + int(np.searchsorted(kind[s:e], 1))
                 qid, q = np.concatenate([qid, ids[s:m]]), np.concatenate([q, v[s:m]])
-                for low in range(m, e, 2048):
+                step = max(64, CELLS // max(1, len(qid)))
+                for low in range(m, e, step):
                     if len(qid):
-                        high = min(e, low + 2048)
-                        row, col, score = best(scores(q, v[low:high]), qid, ids[low:high], k)
+                        high = min(e, low + step)
+                        row, col, score = best(scores(q, v[low:high], qid[:, None] == ids[None, low:high]), qid, ids[low:high], k)
                         found.append((qid[row], ids[low:high][col], score))
         yield from settled()
 
@@ -213,7 +271,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
   FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

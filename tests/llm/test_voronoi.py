@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from nearsieve.llm import voronoi
 
@@ -9,7 +10,7 @@ from nearsieve.llm import voronoi
 def plain(rows, k=5, every=50):
     kept = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             kept.append((i, [math.floor(256 * float(x)) for x in v]))
     out = []
     for q, v in {i: min(x for j, x in kept if j == i) for i, _ in kept if i % every == 0}.items():
@@ -42,6 +43,23 @@ def test_few_and_no_rows(spark):
     assert search(spark, [(50, [1.0])]) == []
 
 
+def test_all_finite_vectors_take_part(spark):
+    rows = [(50, [1e9, 1.0]), (51, [1.0, -2.0]), (52, []), (53, [-1e4, 0.5]), (54, [3e4, 3.5]), (100, []), (150, [2.5])]
+    assert search(spark, rows) == plain(rows)
+    with pytest.raises(Exception, match="int too (large|big)"):
+        search(spark, [(50, [7e6] * 64), (51, [2e9] * 64)])
+
+
+def test_cells_that_need_the_same_rows_are_one_group():
+    rows = {c: 100 for c in range(6)}
+    everything, asks = {a: set(rows) for a in range(6)}, {a: 10 for a in range(6)}
+    assert [sorted(g) for g in voronoi.grouped(everything, asks, rows, 1000)] == [list(range(6))]
+    assert sorted(len(g) for g in voronoi.grouped(everything, asks, rows, 30)) == [3, 3]
+    assert sorted(map(sorted, voronoi.grouped({0: {0, 1}, 1: {0, 1}, 2: {4}, 3: {4, 5}}, asks, rows, 1000))) == [[0, 1], [2, 3]]
+    placed = voronoi.dealt_blocks({0: 10, 1: 20, 2: 250, 3: 90, 4: 5, 5: 6}, 100)
+    assert placed == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1), 5: (5, 1)}
+
+
 def test_far_cells_are_not_sent():
     pivots = np.array([[0.0, 0.0], [100.0, 0.0]])
     reach = voronoi.bounds(pivots, {0: 1.0}, {0: [0.0, 1.0, 1.0], 1: [0.0, 0.0, 0.0]}, 3)
