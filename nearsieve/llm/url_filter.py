@@ -58,6 +58,11 @@ def grams(url: Column, order: int = ORDER) -> Column:
     return F.get(F.transform(F.array(chars), runs), F.lit(0))
 
 
+def down(a: Column, b: Column) -> Column:
+    """a / b in whole numbers, rounded down; b is positive."""
+    return ((a - F.pmod(a, b)) / b).cast("long")
+
+
 @dataclass
 class Model:
     table: DataFrame  # gram, score
@@ -68,7 +73,7 @@ class Model:
         """``url, score`` of distinct ``urls(url)``: millionths of a nat a character, rounded down."""
         table = F.broadcast(self.table) if self.rows <= SMALL else self.table
         each = urls.select("url", F.explode(grams(F.col("url"))).alias("gram")).join(table, "gram")
-        return each.groupBy("url").agg(F.expr("sum(score) div count(*)").alias("score"))
+        return each.groupBy("url").agg(down(F.sum("score"), F.count("*")).alias("score"))
 
 
 def _scores(counts: DataFrame, order: int) -> DataFrame:
@@ -96,9 +101,9 @@ def learn(urls: DataFrame, order: int = ORDER) -> Model:
     counts = cut(each.groupBy("gram").agg(F.count_if("a").alias("acc"), F.count_if("b").alias("rej")), "grams")
     table = cut(_scores(counts, order), "model")
     model = Model(table, table.count(), 0)
-    held = urls.filter(~example & F.col("verdict").isNotNull())
+    held = urls.filter(~example & F.col("verdict").isNotNull())  # only these are scored for the calibration
     judged = model.scored(held.select("url")).join(held, "url")
-    bins = F.greatest(F.lit(-8000), F.least(F.lit(8000), F.expr(f"score div {UNIT // 1000}")))
+    bins = F.greatest(F.lit(-8000), F.least(F.lit(8000), down(F.col("score"), F.lit(UNIT // 1000))))
     found = judged.groupBy(bins.cast("int").alias("bin")).agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b")).collect()  # 16,001 rows at most
     model.threshold = calibrate([(r.bin, r.a, r.b) for r in found]) * (UNIT // 1000)
     return model
@@ -135,7 +140,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, so that grams are made by many tasks
     urls = cut(rows.select("url", F.col("said").alias("verdict")).distinct().repartition(parts, "url"), "urls")
     model = learn(urls)
-    scored = cut(model.scored(urls.select("url")), "scores")
+    scored = cut(model.scored(urls.select("url")), "scores")  # of all urls, as the score is a column of the result
     verdict = F.coalesce("said", F.when(F.col("score") >= model.threshold, "allow").otherwise("block"))
     return rows.join(scored, "url").select("page_id", "host", "path", "rule", verdict.alias("verdict"), (F.col("score") / UNIT).alias("score"))
 

@@ -55,11 +55,11 @@ def test_judgements_equal_brute_force(spark):
     folds = {r.url: r.f for r in spark.createDataFrame([(u,) for u in distinct], "url string").select("url", F.pmod(F.xxhash64("url"), F.lit(5)).alias("f")).collect()}
     said = {u: rule(*parts(u))[1] for u in distinct}
     score = models([(u, said[u]) for u in distinct if said[u] and folds[u] != 0])
-    total = {u: math.trunc(sum(map(score, grams(u))) / len(grams(u))) for u in distinct}
+    total = {u: math.floor(sum(map(score, grams(u))) / len(grams(u))) for u in distinct}
     bins = defaultdict(lambda: [0, 0])
     for u in distinct:
         if said[u] and folds[u] == 0:
-            bins[max(-8000, min(8000, math.trunc(total[u] / 1000)))][said[u] == "block"] += 1
+            bins[max(-8000, min(8000, math.floor(total[u] / 1000)))][said[u] == "block"] += 1
     cut = url_filter.calibrate([(b, *v) for b, v in bins.items()]) * 1000
     want = []
     for i, u in rows:
