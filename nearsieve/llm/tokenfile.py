@@ -10,7 +10,9 @@ that it touches.
     packed blocks
     doc_id (int64), first id (uint64) of each document, one more for the end
     byte offset of each block (uint64), one more for the end
-    documents, ids, blocks (uint64 each), magic
+    documents, ids, blocks, documents without an id (uint64 each), magic
+
+Documents without an id are the last ones of a file; the table has -1 for them.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from nearsieve.llm.env import open_fs, read_table, shared_dir, slices, write_whole
 from nearsieve.llm.tokens import encoder
 
-MAGIC, VERSION, BLOCK = b"NSTK", 1, 1 << 14
+MAGIC, VERSION, BLOCK = b"NSTK", 2, 1 << 14
 END = 2
 
 
@@ -56,14 +58,15 @@ def unpack(raw: bytes, count: int, bits: int) -> np.ndarray:
     return ((out >> (at & np.uint64(7))) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def file_chunks(docs: Iterable[tuple[int, np.ndarray]], bits: int, block: int = BLOCK) -> Iterator[bytes]:
+def file_chunks(docs: Iterable[tuple[int | None, np.ndarray]], bits: int, block: int = BLOCK) -> Iterator[bytes]:
     """The bytes of a file; only one block of ids and the document table are held."""
     yield MAGIC + struct.pack("<III", VERSION, bits, block)
-    names, firsts, offsets, total, held, kept, at = [], [], [16], 0, [], 0, 16
+    names, firsts, offsets, total, held, kept, at, nameless = [], [], [16], 0, [], 0, 16, 0
     for doc_id, ids in docs:
         if len(ids) and int(ids.max()) >> bits:
             raise ValueError(f"an id of document {doc_id} needs more than {bits} bits")
-        names.append(doc_id)
+        names.append(-1 if doc_id is None else doc_id)
+        nameless += doc_id is None
         firsts.append(total)
         total += len(ids)
         held.append(ids)
@@ -80,7 +83,7 @@ def file_chunks(docs: Iterable[tuple[int, np.ndarray]], bits: int, block: int =
         yield (raw := pack(np.concatenate(held), bits))
         offsets.append(at + len(raw))
     yield np.array(names, "<i8").tobytes() + np.array([*firsts, total], "<u8").tobytes() + np.array(offsets, "<u8").tobytes()
-    yield struct.pack("<QQQ", len(names), total, len(offsets) - 1) + MAGIC
+    yield struct.pack("<QQQQ", len(names), total, len(offsets) - 1, nameless) + MAGIC
 
 
 @dataclass
@@ -93,13 +96,13 @@ class TokenFile:
         system, path = open_fs(self.uri)
         self.source = system.open_input_file(path)
         size = self.source.size()
-        head, tail = self.source.read_at(16, 0), self.source.read_at(28, size - 28)
-        if head[:4] != MAGIC or tail[24:] != MAGIC:
+        head, tail = self.source.read_at(16, 0), self.source.read_at(36, size - 36)
+        if head[:4] != MAGIC or tail[32:] != MAGIC:
             raise ValueError(f"{self.uri} is no token file")
         _, self.bits, self.block = struct.unpack("<III", head[4:])
-        self.documents, self.total, blocks = struct.unpack("<QQQ", tail[:24])
+        self.documents, self.total, blocks, self.nameless = struct.unpack("<QQQQ", tail[:32])
         length = 8 * (2 * self.documents + 1 + blocks + 1)
-        table = self.source.read_at(length, size - 28 - length)
+        table = self.source.read_at(length, size - 36 - length)
         self.doc_ids = np.frombuffer(table, "<i8", self.documents)
         self.firsts = np.frombuffer(table, "<u8", self.documents + 1, 8 * self.documents).astype(np.int64)
         self.offsets = np.frombuffer(table, "<u8", blocks + 1, 8 * (2 * self.documents + 1)).astype(np.int64)
@@ -128,8 +131,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
     Documents are dealt out by ranges of doc_id, so files and the documents in
     them are in ascending order. Null texts are empty and hold the end id
     alone. Documents of one doc_id all stay, ordered by the text's digest and
-    then its length. Rows with a null doc_id have no place in the order:
-    ValueError. An empty table gives no documents and no files. Other columns
+    then its length. Rows with a null doc_id come after all others. An empty table gives no documents and no files. Other columns
     are ignored.
     """
     spark, bits = docs.sparkSession, width(vocabulary)
@@ -146,8 +148,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
 
         def documents(batch: pa.RecordBatch):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if doc_id is None:
-                    raise ValueError("a document has no doc_id")
                 ids = own.ids(text)
                 if end is not None:
                     ids.append(end)
@@ -163,8 +163,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", F.xxhash64("text"), F.length("text")]
-    rows = dealt.repartitionByRange(parts, "doc_id").sortWithinPartitions(*order).mapInArrow(run, MANIFEST).collect()  # a row a file
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.length("text")]
+    rows = dealt.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(run, MANIFEST).collect()  # a row a file
     return spark.createDataFrame(sorted(rows), MANIFEST)
 
 
@@ -188,7 +188,8 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     marks = file.firsts[low : high + 1]
                     ids = file.span(int(marks[0]), int(marks[-1])).astype("<u4")
                     crcs = [zlib.crc32(ids[s - marks[0] : e - marks[0]].data) for s, e in zip(marks[:-1], marks[1:], strict=True)]
-                    yield pa.record_batch([pa.array(file.doc_ids[low:high]), pa.array(before + marks[:-1]), pa.array(np.diff(marks)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    own = pa.array(file.doc_ids[low:high], mask=np.arange(low, high) >= file.documents - file.nameless)
+                    yield pa.record_batch([own, pa.array(before + marks[:-1]), pa.array(np.diff(marks)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.createDataFrame(files, "path string, start long").repartition(len(files)).mapInArrow(run, schema)
 

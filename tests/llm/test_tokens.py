@@ -58,8 +58,9 @@ def test_token_files_of_a_table(spark, documents, prose):
         at += len(ids)
     empty = tokenfile.write_tokens(documents([]), shared_dir(spark, "t"), path, 49_408)
     assert empty.count() == 0 and tokenfile.read_tokens(spark, empty).count() == 0
-    with pytest.raises(Exception, match="no doc_id"):
-        tokenfile.write_tokens(documents([(None, "a")]), shared_dir(spark, "t"), path, 49_408)
+    last = tokenfile.write_tokens(documents([(None, "a"), *rows, (None, None), (-1, "b")]), shared_dir(spark, "t"), path, 49_408)
+    found = sorted(tokenfile.read_tokens(spark, last).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [-4, -1, 2, 3, 3, 5, 7, 9, None, None]
 
 
 def test_differencing_balances_and_windows_grow():
