@@ -28,19 +28,20 @@ SMALL = 100  # smaller payloads are stored each time
 _SPACE = uuid.UUID("6f3c2a52-1c63-5f0e-9d5b-0a4a3f1f8e11")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One uncompressed record. A revisit has no block; its headers keep the payload's length and digest."""
     block = payload if refers_to is None else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, str(page_id))}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, str(page_id) if page_id is not None else f'none {url} {digest}')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join((url or 'about:blank').split())}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
-        f"X-Page-ID: {page_id}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_SPACE, str(refers_to))}>", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
@@ -132,7 +133,7 @@ def decide(pages: DataFrame, small: int = SMALL) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     least = rows.filter(F.octet_length("payload") >= small).groupBy(F.col("digest").alias("own")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("own", "first")
-    again = F.when((F.octet_length("payload") >= small) & (F.col("page_id") != F.col("first")), F.col("first"))
+    again = F.when((F.octet_length("payload") >= small) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.join(least, F.col("digest") == F.col("own"), "left").select("page_id", "url", "payload", "digest", again.alias("refers_to"))
 
 
@@ -144,7 +145,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     A null html is an empty payload, a null url ``about:blank``. Rows of one
     page_id all get a record; those of equal payload are the response both. A
-    null page_id can't be referred to: ValueError. An empty table gives no
+    page without page_id is a record without that header; it is never referred to, revisits a page of
+    the same payload that has an id, and is a response where there is none. An empty table gives no
     archives. Other columns are ignored.
     """
     spark = pages.sparkSession
@@ -156,8 +158,6 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             nonlocal count
             for batch in slices(batches, "payload"):
                 for row in batch.to_pylist():
-                    if row["page_id"] is None:
-                        raise ValueError("a page has no page_id")
                     count += 1
                     yield record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"])
 
@@ -196,7 +196,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if head["WARC-Type"] == "response" and (len(block), hashlib.sha256(block).hexdigest()) != (size, digest):
                         raise ValueError(f"{path}: a payload is not the one that was written")
                     refers = head.get("X-Refers-To-Page-ID")
-                    rows.append((int(head["X-Page-ID"]), size, digest, head["WARC-Type"], None if refers is None else int(refers)))
+                    page = head.get("X-Page-ID")
+                    rows.append((None if page is None else int(page), size, digest, head["WARC-Type"], None if refers is None else int(refers)))
                     if len(rows) >= 4096:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], TYPES)
                         rows = []
@@ -218,6 +219,6 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(c
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
