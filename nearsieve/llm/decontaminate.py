@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,18 +62,16 @@ class Items:
         self.seen = np.zeros(1 << _BITS, bool)
         for _, h, _ in self.classes:
             self.seen[h & np.uint64((1 << _BITS) - 1)] = True
-        self.top = max((h[-1] for _, h, _ in self.classes), default=np.uint64(0))
 
     def candidates(self, words: Words) -> list[tuple[int, int]]:
         """(row, item) of all texts and items that share a sketch hash."""
         h, at = words.shingles(self.k)
-        sketch = np.flatnonzero(h <= self.top)
-        sketch = sketch[self.seen[h[sketch] & np.uint64((1 << _BITS) - 1)]]
+        sketch = np.flatnonzero(self.seen[h & np.uint64((1 << _BITS) - 1)])
         h, row = h[sketch], words.row[at[sketch]]
         size = np.maximum(np.diff(words.first) - self.k + 1, 0)[row]
         found = set()
         for least, hashes, who in self.classes:
-            fits = size >= least
+            fits = (size >= least) & (h <= hashes[-1])  # the document's sketch for this class
             hit, r = h[fits], row[fits]
             low, high = np.searchsorted(hashes, hit, "left"), np.searchsorted(hashes, hit, "right")
             for i in np.flatnonzero(high > low):
@@ -106,13 +105,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, thresho
     items and documents give a row each. A null doc_id or item_id is kept.
     Empty tables give no rows; other columns are ignored.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).cast("long")).first()[0]
-    blocks, out = max(1, -(-total // BLOCK_BYTES)), None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # at most about BLOCK_BYTES
-        shared = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] or "" for r in rows], k, threshold))
+    out = None
+    for shared in blocks(items, k, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
@@ -128,10 +123,34 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, thresho
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item. Rows with a null doc_id are kept: a finding could not name them."""
-    found = contained_items(docs.filter("doc_id IS NOT NULL"), items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def blocks(items: DataFrame, k: int, threshold: float) -> Iterator[Broadcast]:
+    """``Items`` of at most about BLOCK_BYTES of text each, one at least."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).cast("long")).first()[0]
+    count = max(1, -(-total // BLOCK_BYTES))
+    for b in range(count):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).collect()  # at most about BLOCK_BYTES
+        yield items.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] or "" for r in rows], k, threshold))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose own text contains no item, whatever their ids; a filter within the scan.
+
+    Columns stay as they are; null and empty texts contain nothing.
+    """
+    for shared in blocks(items, k, threshold):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in slices(batches, "text"):
+                words = Words(batch.column("text").cast(pa.string()))
+                hit = [r for r, *_ in own.verify(words, own.candidates(words))]
+                clean = np.ones(batch.num_rows, bool)
+                clean[hit] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from nearsieve.llm.env import cut, slices
 from nearsieve.llm.graph import components
-from nearsieve.llm.simhash import near_classes
+from nearsieve.llm.simhash import fingerprints, links
 from nearsieve.llm.words import Words, mix
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
+KEYS = [f"k{b}" for b in range(BANDS)]
 FACTORS = np.array([random.Random(31 + i).getrandbits(64) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
@@ -51,45 +52,47 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in FACTORS[b * ROWS : (b + 1) * ROWS]:
                 key = mix(key ^ np.minimum.reduceat(h * f, starts))
             keys.append(key)
-        flat = np.stack(keys, axis=1).view(np.int64).reshape(-1)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(flat))
         same = np.add.reduceat(mix(h), starts)  # of the whole set
-        yield pa.record_batch([pa.array(batch.column("doc_id").to_numpy()[texts]), pa.array(same.view(np.int64)), lists], ["doc", "same", "keys"])
+        yield pa.record_batch([batch.column("node").take(pa.array(texts)), pa.array(same.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)], ["doc", "same", *KEYS])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         h, starts, texts = _sets(batch)
         lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
-        yield pa.record_batch([pa.array(batch.column("doc_id").to_numpy()[texts]), lists], ["doc", "s"])
+        yield pa.record_batch([batch.column("node").take(pa.array(texts)), lists], ["doc", "s"])
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose Jaccard similarity is 0.8 or more."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
-    sets = cut(rows.join(ids, "doc_id", "left_semi").mapInArrow(_shingles, "doc long, s array<long>"), "shingles")
+def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose Jaccard similarity is 0.8 or more; one row of each text is read for it."""
+    nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    asked = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("own"), F.col("first.id").alias("own_id"))
+    own = rows.join(asked, (rows["node"] == asked["own"]) & rows["doc_id"].eqNullSafe(asked["own_id"]), "left_semi")
+    sets = cut(own.dropDuplicates(["node"]).mapInArrow(_shingles, "doc binary, s array<long>"), "shingles")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     counts = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
     return counts.filter("5 * n >= 4 * (m - n)").select("a", "b")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, each class linked by
-    fingerprints within op9's 3 bits or by a Jaccard similarity of 0.8 or more.
-
-    Rows with a null doc_id stay, as do texts of under five words unless op9's fingerprints link them.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    bands = cut(rows.mapInArrow(_bands, "doc long, same long, keys array<long>"), "bands")
+def text_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, root`` of the texts of ``rows(node, doc_id, text)`` that are linked to another. A node names a
+    text; ``texts(node, first)`` has each once, with the id of a row."""
+    prints = cut(fingerprints(rows, name="node").groupBy("node").agg(F.first("fp").alias("fp")), "prints")
+    values = cut(prints.groupBy("fp").agg(F.min("node").alias("least")), "values")
+    rooted = values.join(components(links(values)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("b")), "root").select("fp", "b")
+    near = prints.join(rooted, "fp").select(F.col("node").alias("a"), "b")
+    schema = "doc binary, same long, " + ", ".join(f"{k} long" for k in KEYS)
+    bands = rows.mapInArrow(_bands, schema).groupBy("doc").agg(*[F.first(c).alias(c) for c in ("same", *KEYS)])  # copies agree
+    bands = cut(bands.select("doc", "same", F.array(*KEYS).alias("keys")), "bands")
     firsts = cut(bands.groupBy("same").agg(F.min("doc").alias("first")), "firsts")
     equal = bands.join(firsts, "same").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    near = near_classes(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     edges = cut(near.union(equal), "edges")
     single = bands.join(firsts.select(F.col("first").alias("doc"), "same"), ["doc", "same"], "left_semi")
     buckets = cut(single.select("doc", F.posexplode("keys").alias("band", "key")), "buckets")
     stars = cut(buckets.groupBy("band", "key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a <> z").select("band", "key", "a"), "stars")
     pairs = cut(buckets.join(stars, ["band", "key"]).filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "pairs")
-    edges = cut(edges.union(_verified(rows, pairs)), "edges")
+    edges = cut(edges.union(_verified(rows, texts, pairs)), "edges")
     roots = components(edges)
     # members of one bucket that no star has joined meet in pairs
     placed = buckets.join(stars.select("band", "key"), ["band", "key"]).join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
@@ -98,6 +101,27 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     other = left.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("broot"))
     more = left.withColumnRenamed("doc", "a").join(other, ["band", "key"]).filter("a < b AND root <> broot").select("a", "b").distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.head(1):
-        roots = components(edges.union(_verified(rows, more)))
-    return docs.join(roots.filter("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    return components(edges.union(_verified(rows, texts, more))) if more.head(1) else roots
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each class of ``docs``, classes linked by fingerprints within op9's 3 bits or by a
+    Jaccard similarity of 0.8 or more.
+
+    Rows are judged by their own texts, whatever ids they have. The row that stays has the least doc_id, a null one
+    counting as the greatest, and then the least MD5 of its text; of rows equal in both any one
+    stays. A null text is an empty one, and all empty ones are a class. Texts of under five words
+    are linked by fingerprints alone. Empty tables give no rows; columns stay as they are.
+    """
+    own = "_node"
+    marked = docs.withColumn(own, F.unhex(F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))))
+    rows = marked.select(F.col(own).alias("node"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    texts = cut(marked.groupBy(F.col(own).alias("node")).agg(F.min(name).alias("first"), F.count("*").alias("n")), "texts")
+    roots = text_classes(rows, texts)
+    best = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node", "n")).alias("x"))
+    best = cut(best.select(F.col("x.first.id").alias("_id"), F.col("x.node").alias("_own"), (F.col("x.n") > 1).alias("_again")), "kept")
+    same = marked["doc_id"].eqNullSafe(best["_id"]) & (marked[own] == best["_own"])
+    kept = marked.join(best, same).select(*docs.columns, own, "_again")
+    # a text of several rows may stand in several rows of its least id
+    return kept.filter("NOT _again").union(kept.filter("_again").dropDuplicates(["doc_id", own])).select(docs.columns)

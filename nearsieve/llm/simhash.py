@@ -50,15 +50,16 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of whole texts; fp is signed, as Spark's long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, name: str = "doc_id") -> DataFrame:
+    """``(doc_id, fp)`` of whole texts, or another column than doc_id; fp is signed, as Spark's long. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t, k) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(name), pa.array(fps)], [name, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema[name].dataType.simpleString() if name != "doc_id" else "long"
+    return docs.select(F.col(name).cast(kind).alias(name), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{name} {kind}, fp long")
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -173,16 +174,6 @@ def near_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, each doc_id once.
-
-    Rows with a null doc_id can't be named by a class and stay.
-    """
-    keep = near_classes(docs, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    rest = docs.filter("doc_id IS NULL")
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).union(rest)
-
-
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     from nearsieve.llm.env import read_table
 

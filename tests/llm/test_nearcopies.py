@@ -14,4 +14,12 @@ def test_near_copies_beyond_three_bits_are_dropped(spark, documents, prose):
     assert min(jaccard(30, 31), jaccard(30, 32), jaccard(33, 34)) >= 0.8 > max(jaccard(i, 40) for i in (30, 31, 32))
     assert any((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 3 for a, b in ((base, near[1][1]), (base, near[2][1]), (other, near[4][1])))
     kept = [r.doc_id for r in nearcopies.drop_near_copies(documents(rows + near + far)).collect()]
-    assert sorted(kept, key=lambda i: (i is None, i)) == [*range(20), 30, 33, 40, 41, 42, None]
+    assert sorted(kept, key=lambda i: (i is None, i)) == [*range(20), 30, 33, 40, 41, 42]
+
+
+def test_rows_are_judged_by_their_texts(spark, documents, prose):
+    a, b, c = prose(80, 50), prose(90, 51), prose(70, 52)
+    rows = [(1, a), (1, a), (5, a), (5, b), (None, a), (7, c), (7, c), (7, c), (None, prose(60, 53)), (None, prose(60, 53)), (9, ""), (8, None), (None, " ")]
+    kept = sorted(((r.doc_id, r.text) for r in nearcopies.drop_near_copies(documents(rows)).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (7, c), (None, prose(60, 53)), (8, None)], key=str)
+    assert nearcopies.drop_near_copies(documents([])).count() == 0
