@@ -27,7 +27,7 @@ from nearsieve.llm.env import cut, read_table, slices
 from nearsieve.llm.words import Words, mix
 
 SEED, WINDOW = 5, 3
-PASSAGE, PIECE = 50, 16  # least words of a passage, and of an aligned piece of one
+PASSAGE = 50  # least words of a passage, on both sides of its alignment
 IDENTITY = 0.8
 GAP_COST, GAP = 0.1, 40  # per word that a gap spans on either side; longer gaps end a chain
 REACH = 48  # words beyond a chain's ends that are looked at
@@ -279,13 +279,12 @@ def _anchors(found: DataFrame, label: str) -> DataFrame:
     return cut(first.select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), label)
 
 
-def _joined(pieces: DataFrame, *keys: str) -> DataFrame:
-    """Pieces (start, end) of equal keys that touch, as one each."""
-    order = Window.partitionBy(*keys).orderBy("start")
+def _joined(pieces: DataFrame) -> DataFrame:
+    """Pieces (start, end) of a document that touch, as one each."""
+    order = Window.partitionBy("doc").orderBy("start")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = pieces.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    partner = [] if "partner" in keys else [F.min("partner").alias("partner")]
-    return marked.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *partner).drop("run")
+    return marked.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner"))
 
 
 PIECES = "doc long, start int, end int, partner long"
@@ -352,19 +351,27 @@ def aligned(x: list, y: list, blocks: np.ndarray) -> Iterator[tuple[int, int, in
             parts += [(low, worst), (worst + 1, high)]
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both sides of every part of a chain that aligns."""
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            f1, f2 = r["f1"], r["f2"]
-            for s1, s2, e1, e2 in aligned(r["x"], r["y"], np.array(r["blocks"], np.int64).reshape(-1, 3) - [f1, f2, 0]):
-                if min(e1 - s1, e2 - s2) >= PIECE:
-                    out.append((r["doc"], s1 + f1, e1 + f1, r["anchor"]))
-                    out.append((r["anchor"], s2 + f2, e2 + f2, r["doc"]))
-        if out:
-            cols = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+def _align(least: int):
+    """Both sides of every part of a chain that aligns over ``least`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                f1, f2, x, y = r["f1"], r["f2"], r["x"], r["y"]
+                one, two = set(x), set(y)
+                # a part lies within x and y: it has no more equal words than either has of the other's
+                if min(sum(map(two.__contains__, x)), sum(map(one.__contains__, y))) < IDENTITY * least:
+                    continue
+                for s1, s2, e1, e2 in aligned(x, y, np.array(r["blocks"], np.int64).reshape(-1, 3) - [f1, f2, 0]):
+                    if min(e1 - s1, e2 - s2) >= least:
+                        out.append((r["doc"], s1 + f1, e1 + f1, r["anchor"]))
+                        out.append((r["anchor"], s2 + f2, e2 + f2, r["doc"]))
+            if out:
+                cols = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+
+    return run
 
 
 def _word_count(docs: DataFrame) -> DataFrame:
@@ -417,17 +424,14 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     parts = cut(_slices(single, ends), "slices")
     own = parts.select(F.col("doc"), F.col("f").alias("f1"), F.col("t").alias("t1"), F.col("words").alias("x"))
     theirs = parts.select(F.col("doc").alias("anchor"), F.col("f").alias("f2"), F.col("t").alias("t2"), F.col("words").alias("y"))
-    pieces = chains.join(own, ["doc", "f1", "t1"]).join(theirs, ["anchor", "f2", "t2"]).select("doc", "anchor", "f1", "f2", "blocks", "x", "y").mapInArrow(_align, PIECES)
+    pieces = chains.join(own, ["doc", "f1", "t1"]).join(theirs, ["anchor", "f2", "t2"]).select("doc", "anchor", "f1", "f2", "blocks", "x", "y").mapInArrow(_align(least), PIECES)
     several = sizes.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
     classes = firsts.filter((F.col("copies") > 1) & (F.col("n") >= least))
     copies = sizes.select("doc_id", "digest").join(classes, "digest")
     copies = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner"))
     # an id's copy among other texts is a piece like those of the others; at most a row for each word of a document
     pieces = pieces.union(copies.join(several, "doc_id", "left_semi"))
-    # the pieces that a document shares with one partner make a passage; passages that touch are one row
-    shared = _joined(pieces, "doc", "partner").filter(F.col("end") - F.col("start") >= least)
-    shared = cut(shared.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")), "pieces")
-    merged = _joined(shared, "doc")
+    merged = _joined(cut(pieces.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")), "pieces"))
     copies = copies.join(several, "doc_id", "left_anti")
     alone = merged.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
     return alone.select(F.col("doc").alias("doc_id"), "start", "end", "partner").union(copies)

@@ -78,7 +78,7 @@ def found_in(texts, module=substring):
                 for side, doc, f, t in (("x", r["doc"], r["f1"], r["t1"]), ("y", r["anchor"], r["f2"], r["t2"])):
                     own = words.hash[words.first[doc] : words.first[doc + 1]]
                     r[side] = own[f:t].view(np.int64).tolist()
-            for part in module._align(iter([pa.RecordBatch.from_pylist(rows)])):
+            for part in module._align(module.PASSAGE)(iter([pa.RecordBatch.from_pylist(rows)])):
                 for r in part.to_pylist():
                     covered[r["doc"]][r["start"] : r["end"]] = True
     out = []
