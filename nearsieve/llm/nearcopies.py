@@ -53,7 +53,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix(key ^ np.minimum.reduceat(h * f, starts))
             keys.append(key)
         same = np.add.reduceat(mix(h), starts)  # of the whole set
-        yield pa.record_batch([batch.column("node").take(pa.array(texts)), pa.array(same.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)], ["doc", "same", *KEYS])
+        which = pa.array(texts)
+        yield pa.record_batch([batch.column("node").take(which), batch.column("doc_id").take(which), pa.array(same.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)], ["doc", "id", "same", *KEYS])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +83,17 @@ def text_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
     rooted = values.join(components(links(values)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("b")), "root").select("fp", "b")
     near = prints.join(rooted, "fp").select(F.col("node").alias("a"), "b")
-    schema = "doc binary, same long, " + ", ".join(f"{k} long" for k in KEYS)
-    bands = rows.mapInArrow(_bands, schema).groupBy("doc").agg(*[F.first(c).alias(c) for c in ("same", *KEYS)])  # copies agree
-    bands = cut(bands.select("doc", "same", F.array(*KEYS).alias("keys")), "bands")
-    firsts = cut(bands.groupBy("same").agg(F.min("doc").alias("first")), "firsts")
+    schema = "doc binary, id long, same long, " + ", ".join(f"{k} long" for k in KEYS)
+    bands = rows.mapInArrow(_bands, schema).groupBy("doc").agg(F.coalesce(F.min("id"), F.lit((1 << 63) - 1)).alias("id"), *[F.first(c).alias(c) for c in ("same", *KEYS)])  # copies agree
+    # stars have the text of least id for a centre: one that most of its copies meet in most of their buckets
+    name = F.struct("id", "doc")
+    bands = cut(bands.select("doc", "id", "same", F.array(*KEYS).alias("keys")), "bands")
+    firsts = cut(bands.groupBy("same").agg(F.min(name).alias("x")).select("same", F.col("x.doc").alias("first")), "firsts")
     equal = bands.join(firsts, "same").select(F.col("doc").alias("a"), F.col("first").alias("b"))
     edges = cut(near.union(equal), "edges")
     single = bands.join(firsts.select(F.col("first").alias("doc"), "same"), ["doc", "same"], "left_semi")
-    buckets = cut(single.select("doc", F.posexplode("keys").alias("band", "key")), "buckets")
-    stars = cut(buckets.groupBy("band", "key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a <> z").select("band", "key", "a"), "stars")
+    buckets = cut(single.select("doc", "id", F.posexplode("keys").alias("band", "key")), "buckets")
+    stars = cut(buckets.groupBy("band", "key").agg(F.min(name).alias("a"), F.max(name).alias("z")).filter("a.doc <> z.doc").select("band", "key", F.col("a.doc").alias("a")), "stars")
     pairs = cut(buckets.join(stars, ["band", "key"]).filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "pairs")
     edges = cut(edges.union(_verified(rows, texts, pairs)), "edges")
     roots = components(edges)
