@@ -357,13 +357,18 @@ def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                f1, f2, x, y = r["f1"], r["f2"], r["x"], r["y"]
+            lists = {}
+            for c in ("x", "y", "blocks"):  # slices of one array; a list of Arrow scalars is far slower
+                own, offsets = batch.column(c), batch.column(c).offsets.to_numpy()
+                lists[c] = own.flatten().to_numpy(zero_copy_only=False), (offsets - offsets[0]).tolist()
+            take = lambda c, i, lists=lists: lists[c][0][lists[c][1][i] : lists[c][1][i + 1]]
+            for i, r in enumerate(batch.select(["doc", "anchor", "f1", "f2"]).to_pylist()):
+                f1, f2, x, y = r["f1"], r["f2"], take("x", i).tolist(), take("y", i).tolist()
                 one, two = set(x), set(y)
                 # a part lies within x and y: it has no more equal words than either has of the other's
                 if min(sum(map(two.__contains__, x)), sum(map(one.__contains__, y))) < IDENTITY * least:
                     continue
-                for s1, s2, e1, e2 in aligned(x, y, np.array(r["blocks"], np.int64).reshape(-1, 3) - [f1, f2, 0]):
+                for s1, s2, e1, e2 in aligned(x, y, take("blocks", i).astype(np.int64).reshape(-1, 3) - [f1, f2, 0]):
                     if min(e1 - s1, e2 - s2) >= least:
                         out.append((r["doc"], s1 + f1, e1 + f1, r["anchor"]))
                         out.append((r["anchor"], s2 + f2, e2 + f2, r["doc"]))
