@@ -294,11 +294,13 @@ def beyond(x: list, y: list) -> list[tuple[int, int, int, int]]:
     """Ways to go on from the starts of two texts past changed words: (equal words less changes,
     words of x, words of y, equal words), best first, each ending in equal words.
 
-    Furthest-reaching diagonals by the number of changes: a word replaced, left out or put in.
+    Furthest-reaching diagonals by the number of changes: a word replaced, left out or put in. No more
+    words can be equal than either text has of the other's, and changes beyond that lead nowhere.
     """
     n, m = len(x), len(y)
+    most = min(sum(map(set(y).__contains__, x)), sum(map(set(x).__contains__, y)))
     far, out, best, d = {0: (0, 0)}, [(0, 0, 0, 0)], 0, 0
-    while far:
+    while far and d <= most:
         top = -DROP - 1
         for k, (i, same) in far.items():
             begin = same
