@@ -58,15 +58,28 @@ def minimizers(words: Words, k: int = SEED, w: int = WINDOW) -> tuple[np.ndarray
     return h[picked], at[picked]
 
 
-def seeds(docs: DataFrame) -> DataFrame:
+def seeds(docs: DataFrame, leads: bool = False) -> DataFrame:
+    """``seed, doc, pos`` of all seeds; as ``leads``, of each seed of a few megabytes of text once: its least document,
+    the first position there, and ``z``, its greatest document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             h, at = minimizers(words)
             row = words.row[at]
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(batch.column("doc_id").to_numpy()[row]), pa.array((at - words.first[row]).astype(np.int32))], ["seed", "doc", "pos"])
+            columns = {"seed": h.view(np.int64), "doc": batch.column("doc_id").to_numpy()[row], "pos": (at - words.first[row]).astype(np.int32)}
+            if leads and len(h):
+                seed, doc = columns["seed"], columns["doc"]
+                # positions go up within a text, and both sorts keep the order of equal rows
+                order = np.lexsort((doc, seed)) if (doc[1:] < doc[:-1]).any() else np.argsort(seed, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], seed[order][1:] != seed[order][:-1]]))
+                end = np.append(begin[1:], len(seed)) - 1
+                columns = {c: v[order[begin]] for c, v in columns.items()} | {"z": doc[order[end]]}
+            elif leads:
+                continue
+            yield pa.record_batch([pa.array(v) for v in columns.values()], list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc long, pos int" + ", z long" * leads)
 
 
 def chain(s1: np.ndarray, s2: np.ndarray, n: np.ndarray) -> list[list[int]]:
@@ -272,11 +285,19 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _with_spans(docs, wanted).mapInArrow(run, "doc long, f int, t int, words array<long>")
 
 
-def _anchors(found: DataFrame, label: str) -> DataFrame:
-    """``seed, anchor, apos``: the first occurrence of each seed that several documents have."""
-    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("z")).filter("a.doc <> z")
+def _first_seeds(docs: DataFrame) -> DataFrame:
+    """``seed, anchor, apos``: the first occurrence of each seed that several documents have. Of different
+    texts under one id, the occurrence may be in either."""
+    # each value has a fixed width, unlike a least struct, so seeds are aggregated by hash and not by a sort
+    first = seeds(docs, leads=True).groupBy("seed").agg(F.min("doc").alias("anchor"), F.min_by("pos", "doc").alias("apos"), F.max("z").alias("z")).filter("anchor <> z")
     # written first: an aggregate that feeds the join directly would keep a frequent seed's rows from being split
-    return cut(first.select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), label)
+    return cut(first.select("seed", "anchor", "apos"), "anchors")
+
+
+def _first_runs(runs: DataFrame) -> DataFrame:
+    """The same of runs, which a document may have in several batches."""
+    first = runs.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("z")).filter("a.doc <> z")
+    return cut(first.select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), "anchors")
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
@@ -421,10 +442,10 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     single = rows.join(others, (F.col("doc_id") == F.col("drop_id")) & (F.col("digest") == F.col("drop_digest")), "left_anti").select("doc_id", "text")
     found = seeds(single)
     # an anchor's own seeds come along, as links with itself
-    links = found.join(_anchors(found, "anchors"), "seed").select("doc", "anchor", "pos", "apos")
+    links = found.join(_first_seeds(single), "seed").select("doc", "anchor", "pos", "apos")
     first = cut(links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains(SEED, least), CHAINS), "chains")
     runs = cut(_long_seeds(single, first.filter("anchor IS NULL").select("doc", F.col("f1").alias("f"), F.col("t1").alias("t")), least), "runs")
-    links = runs.join(_anchors(runs, "anchors"), "seed").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
+    links = runs.join(_first_runs(runs), "seed").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
     second = links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains(least, 0), CHAINS)
     chains = cut(first.filter("anchor IS NOT NULL").union(second).dropDuplicates(["doc", "anchor", "f1", "t1", "f2", "t2", "blocks"]), "chains")
     ends = chains.select(F.col("doc").alias("doc"), F.col("f1").alias("f"), F.col("t1").alias("t")).union(chains.select("anchor", "f2", "t2")).distinct()
