@@ -64,12 +64,16 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("node").take(pa.array(texts)), lists], ["doc", "s"])
 
 
-def _verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose Jaccard similarity is 0.8 or more; one row of each text is read for it."""
+def _shingle_sets(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc, s``: the shingles of each text in ``pairs(a, b)``; one row of each text is read for it."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
     asked = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("own"), F.col("first.id").alias("own_id"))
     own = rows.join(asked, (rows["node"] == asked["own"]) & rows["doc_id"].eqNullSafe(asked["own_id"]), "left_semi")
-    sets = cut(own.dropDuplicates(["node"]).mapInArrow(_shingles, "doc binary, s array<long>"), "shingles")
+    return cut(own.dropDuplicates(["node"]).mapInArrow(_shingles, "doc binary, s array<long>"), "shingles")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose Jaccard similarity is 0.8 or more."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     counts = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
     return counts.filter("5 * n >= 4 * (m - n)").select("a", "b")
@@ -94,17 +98,19 @@ def text_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
     single = bands.join(firsts.select(F.col("first").alias("doc"), "same"), ["doc", "same"], "left_semi")
     buckets = cut(single.select("doc", "id", F.posexplode("keys").alias("band", "key")), "buckets")
     stars = cut(buckets.groupBy("band", "key").agg(F.min(name).alias("a"), F.max(name).alias("z")).filter("a.doc <> z.doc").select("band", "key", F.col("a.doc").alias("a")), "stars")
-    pairs = cut(buckets.join(stars, ["band", "key"]).filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "pairs")
-    edges = cut(edges.union(_verified(rows, texts, pairs)), "edges")
+    members = cut(buckets.join(stars, ["band", "key"]).select("band", "key", "doc", "a"), "members")
+    pairs = cut(members.filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "pairs")
+    sets = _shingle_sets(rows, texts, pairs)  # of every member of a star, so of all that meet below too
+    edges = cut(edges.union(_verified(sets, pairs)), "edges")
     roots = components(edges)
     # members of one bucket that no star has joined meet in pairs
-    placed = buckets.join(stars.select("band", "key"), ["band", "key"]).join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    placed = members.select("band", "key", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = cut(placed.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("band", "key"), "open")
     left = cut(placed.join(open_, ["band", "key"], "left_semi").select("band", "key", "doc", "root"), "left")
     other = left.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("broot"))
     more = left.withColumnRenamed("doc", "a").join(other, ["band", "key"]).filter("a < b AND root <> broot").select("a", "b").distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    return components(edges.union(_verified(rows, texts, more))) if more.head(1) else roots
+    return components(edges.union(_verified(sets, more))) if more.head(1) else roots
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
