@@ -390,12 +390,13 @@ def jaccard(spark, d):
 def at_k(spark, d: str, ks: list[int]) -> DataFrame:
     long = v.orders(spark, d).withColumn("val", F.lit(1.0))
     asked = long.filter(F.col("id") % query.EVERY == 0).agg(F.countDistinct("id")).first()[0]
-    return metrics.similarity_at(knn_exact_count(spark, d), long, asked, ks).select("k", F.round("similarity", 6).alias("similarity"))
+    found = query.top_by_count(candidates(spark, d), max(ks))
+    return metrics.similarity_at(found, long, asked, ks).select("k", F.round("similarity", 6).alias("similarity"))
 
 
 def at_k_sql(ks: list[int]) -> str:
     rows = " UNION ALL ".join(f"SELECT {k} AS k, round(coalesce(sum(CASE WHEN rank < {k} THEN dot / sqrt(qn * n) END), 0) / ((SELECT count(DISTINCT id) FROM sets WHERE id % 20 = 0) * {k}), 6) AS similarity FROM pairs" for k in ks)
-    return o.with_(*KNN, DOT, then=f"SELECT CAST(k AS INTEGER) AS k, similarity FROM ({rows})")
+    return o.with_(*KNN[:-1], o.ranked_sql(max(ks)), DOT, then=f"SELECT CAST(k AS INTEGER) AS k, similarity FROM ({rows})")
 
 
 @query_(at_k_sql([1, 2, 3, 5]))
