@@ -72,11 +72,15 @@ def _shingle_sets(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFr
     return cut(own.dropDuplicates(["node"]).mapInArrow(_shingles, "doc binary, s array<long>"), "shingles")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose Jaccard similarity is 0.8 or more."""
+def _scored(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the number ``n`` of shingles that both have, and ``m``, the sum of their numbers."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    counts = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
-    return counts.filter("5 * n >= 4 * (m - n)").select("a", "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
+
+
+def _linked(scored: DataFrame) -> DataFrame:
+    """The pairs whose Jaccard similarity is 0.8 or more."""
+    return scored.filter("5 * n >= 4 * (m - n)").select("a", "b")
 
 
 def text_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -101,16 +105,20 @@ def text_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
     members = cut(buckets.join(stars, ["band", "key"]).select("band", "key", "doc", "a"), "members")
     pairs = cut(members.filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "pairs")
     sets = _shingle_sets(rows, texts, pairs)  # of every member of a star, so of all that meet below too
-    edges = cut(edges.union(_verified(sets, pairs)), "edges")
+    scored = cut(_scored(sets, pairs), "scored")
+    edges = cut(edges.union(_linked(scored)), "edges")
     roots = components(edges)
-    # members of one bucket that no star has joined meet in pairs
-    placed = members.select("band", "key", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    # members of one bucket that no star has joined meet in pairs; Jaccard distance is a metric, so two
+    # whose distances from the centre differ by more than 0.2 can't be within 0.2 of each other
+    far = scored.select("a", F.col("b").alias("doc"), F.expr("1 - n / (m - n)").alias("far"))
+    placed = members.join(far, ["a", "doc"], "left").select("band", "key", "doc", F.coalesce("far", F.lit(0.0)).alias("far"))
+    placed = placed.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = cut(placed.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("band", "key"), "open")
-    left = cut(placed.join(open_, ["band", "key"], "left_semi").select("band", "key", "doc", "root"), "left")
-    other = left.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("broot"))
-    more = left.withColumnRenamed("doc", "a").join(other, ["band", "key"]).filter("a < b AND root <> broot").select("a", "b").distinct()
+    left = cut(placed.join(open_, ["band", "key"], "left_semi").select("band", "key", "doc", "root", "far"), "left")
+    other = left.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("broot"), F.col("far").alias("bfar"))
+    more = left.withColumnRenamed("doc", "a").join(other, ["band", "key"]).filter("a < b AND root <> broot AND abs(far - bfar) <= 0.2 + 1e-9").select("a", "b").distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    return components(edges.union(_verified(sets, more))) if more.head(1) else roots
+    return components(edges.union(_linked(_scored(sets, more)))) if more.head(1) else roots
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
