@@ -86,8 +86,8 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: kept(k) for k in KINDS}
 
 
-def features(raw: Column, before: Column, after: Column) -> dict[str, Column]:
-    """Integers of a candidate's format and of the text around it."""
+def features(raw: Column, before: Column, after: Column, other: Column) -> dict[str, Column]:
+    """Integers of a candidate's format and of the text around it; ``other``: it shares characters with a base span of another kind."""
     d, near = digits(raw), F.lower(before)
     count = lambda s: F.length(raw) - F.length(F.translate(raw, s, ""))
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
@@ -103,6 +103,7 @@ def features(raw: Column, before: Column, after: Column) -> dict[str, Column]:
         "brand": F.coalesce(F.substring(d, 1, 1).try_cast("int"), F.lit(-1)),
         "small_parts": flag(small_parts(raw)),
         "at_sign": flag(raw.contains("@")),
+        "other": flag(other),
         "ending": F.length(F.regexp_extract(raw, "([A-Za-z]+)$", 1)),
         "fours": flag(raw.rlike(r"^[0-9]{4}([\x20.-]?[0-9]{4}){2,}")),
         "three_four": flag(raw.rlike(r"[0-9]{3}[\x20.-][0-9]{4}$")),
@@ -165,7 +166,7 @@ def seeds(count: int = SEEDS, seed: int = 5) -> list[dict]:
                     raw, before = num(10), says("phone", "tel", "call")
             else:
                 raw, before = r.choice([(num(r.randint(7, 15)), plain()), (num(10), says("order", "invoice", "isbn")), (f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", plain()), (f"{num(3)}.{num(3)}.{num(3)}", says("version", "total")), (f"{num(3)}-{num(4)}", says("part", "page")), (f"{num(2)}.{num(3)}.{num(3)}.{num(2)}", plain()), (spaced(num(12), 4, " "), plain())])
-        out.append({"kind": kind, "raw": raw, "before": before[-CONTEXT:], "after": after, "label": yes})
+        out.append({"kind": kind, "raw": raw, "before": before[-CONTEXT:], "after": after, "other": int(not yes and r.random() < 0.4), "label": yes})
     return out
 
 
@@ -176,8 +177,8 @@ def fitted(spark: SparkSession) -> dict[str, tuple[str, float]]:
     is held out of the fit and calibrates the threshold.
     """
     rows = seeds()
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:string,raw:string,before:string,after:string,label:int>>")).alias("s")).select("s.*")
-    given = features(F.col("raw"), F.col("before"), F.col("after"))
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:string,raw:string,before:string,after:string,other:int,label:int>>")).alias("s")).select("s.*")
+    given = features(F.col("raw"), F.col("before"), F.col("after"), F.col("other"))
     names = list(given)
     found = table.select("kind", "label", *[c.cast("int").alias(n) for n, c in given.items()]).collect()  # SEEDS rows
     out = {}
@@ -209,12 +210,15 @@ def with_spans(docs: DataFrame) -> DataFrame:
     base, every = [], []
 
     def described(kind: str) -> Column:
-        kept = F.col(f"_base_{kind}")
-        new = F.filter(F.col(f"_more_{kind}"), lambda x: ~F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+        def meets(x: Column, k: str) -> Column:
+            return F.exists(F.col(f"_base_{k}"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+
+        new = F.filter(F.col(f"_more_{kind}"), lambda x: ~meets(x, kind))
 
         def one(x: Column) -> Column:
             before = F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
-            given = features(x["raw"], before, F.substring(text, x["end"] + 1, F.lit(8)))
+            other = F.array_contains(F.array(*[meets(x, k) for k in KINDS if k != kind]), True)
+            given = features(x["raw"], before, F.substring(text, x["end"] + 1, F.lit(8)), other)
             return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.struct(*[c.cast("int").alias(n) for n, c in given.items()]).alias("f"))
 
         return F.transform(new, one)
