@@ -77,9 +77,14 @@ def read_partitioned(spark: SparkSession, folder: str, base: str, per_file: int)
 
 
 def write_partitioned(long: DataFrame, folder: str, base: str, per_file: int) -> None:
-    """Lines of ids [k * per_file, (k + 1) * per_file) go to part ``base`` k, by ascending id; overwrites."""
-    lines = libsvm_lines(long).withColumn("file", file_name(F.expr(f"id div {per_file}"), base))
-    lines.repartitionByRange("id").sortWithinPartitions("id").select("file", "line").write.mode("overwrite").partitionBy("file").text(folder)
+    """Lines of ids [k * per_file, (k + 1) * per_file) go to part ``base`` k, by ascending id; overwrites.
+
+    A writer of parts wants rows by part, and sorts them anew, which drops every other order, unless it sees that
+    they come so: they are sorted by part and id, and a name is never null (an empty one is Spark's default part).
+    """
+    name = F.coalesce(file_name(F.expr(f"id div {per_file}"), base), F.lit(""))
+    lines = libsvm_lines(long).withColumn("file", name).repartitionByRange("id").sortWithinPartitions("file", "id")
+    lines.select("file", "line").write.mode("overwrite").partitionBy("file").text(folder)
 
 
 def batches(vectors: DataFrame, size: int) -> DataFrame:

@@ -24,6 +24,22 @@ def test_partitioned_and_text_scans(spark, tmp_path):
     assert sorted((r.id, r.text) for r in rows) == [("7", ":some: text"), ("8", ":")]
 
 
+def test_parts_hold_their_lines_by_id(spark, tmp_path):
+    ids = [i * 7919 % 60_000 for i in range(6000)]
+    long = spark.createDataFrame([(i, 1, 1.0) for i in ids], "id long, idx long, val double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several tasks give rows to each part
+    try:
+        vectors.write_partitioned(long, str(tmp_path), "part", 500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    found = {r.id: r.label for r in vectors.read_partitioned(spark, str(tmp_path), "part", 500).collect()}
+    wanted, last = {}, {}
+    for i in sorted(ids):
+        last[i // 500] = last.get(i // 500, -1) + 1
+        wanted[i // 500 * 500 + last[i // 500]] = str(i)
+    assert max(last) >= 100 and found == wanted
+
+
 def test_round_trips(spark, tmp_path):
     long = spark.createDataFrame([(1, 2, 0.5), (1, 1, 1.0), (2, 9, 3.0)], "id long, idx long, val double")
     vectors.write_libsvm(long, f"{tmp_path}/v")
