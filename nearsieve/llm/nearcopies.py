@@ -2,8 +2,9 @@
 
 Candidates are documents that agree in one of BANDS bands of ROWS minima; a pair
 at LEAST is missed with probability (1 - 0.8^5)^24 = 7e-5. Each bucket is a star
-to its least document first; only members that are still in different classes
-then meet in pairs. Every candidate is verified by its whole shingle sets.
+to its least document first, then to others while those join many; only members
+that are still in different classes then meet in pairs, each pair once and only
+if its bounds allow 0.8. Every candidate is verified by its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from nearsieve.llm.words import Words, mix
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 KEYS = [f"k{b}" for b in range(BANDS)]
+WORDS = 32  # of 64 bits: whether the number of a text's shingles at each of 2,048 places is odd
+PRODUCTIVE = 0.1  # share of the members met that a round of stars has to join for another round
 FACTORS = np.array([random.Random(31 + i).getrandbits(64) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
@@ -61,20 +64,30 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         h, starts, texts = _sets(batch)
         lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
-        yield pa.record_batch([batch.column("node").take(pa.array(texts)), lists], ["doc", "s"])
+        sizes = np.diff(np.append(starts, len(h)))
+        odd = pa.FixedSizeListArray.from_arrays(pa.array(_parity(h, np.repeat(np.arange(len(texts)), sizes), len(texts)).view(np.int64)), WORDS)
+        yield pa.record_batch([batch.column("node").take(pa.array(texts)), lists, pa.array(sizes.astype(np.int64)), odd.cast(pa.list_(pa.int64()))], ["doc", "s", "size", "odd"])
+
+
+def _parity(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """WORDS words a row. Two rows differ in as many bits at most as their sets differ in shingles."""
+    out, place = np.zeros(rows * WORDS, np.uint64), mix(h) % np.uint64(64 * WORDS)
+    np.bitwise_xor.at(out, row * WORDS + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
 
 
 def _shingle_sets(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``doc, s``: the shingles of each text in ``pairs(a, b)``; one row of each text is read for it."""
+    """``doc, s, size, odd``: the shingles of each text in ``pairs(a, b)``; one row of each text is read for it."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
     asked = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("own"), F.col("first.id").alias("own_id"))
     own = rows.join(asked, (rows["node"] == asked["own"]) & rows["doc_id"].eqNullSafe(asked["own_id"]), "left_semi")
-    return cut(own.dropDuplicates(["node"]).mapInArrow(_shingles, "doc binary, s array<long>"), "shingles")
+    return cut(own.dropDuplicates(["node"]).mapInArrow(_shingles, "doc binary, s array<long>, size long, odd array<long>"), "shingles")
 
 
 def _scored(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with the number ``n`` of shingles that both have, and ``m``, the sum of their numbers."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    lists = sets.select("doc", "s")
+    both = pairs.join(lists.toDF("a", "x"), "a").join(lists.toDF("b", "y"), "b")
     return both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
 
 
@@ -108,17 +121,73 @@ def text_classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
     scored = cut(_scored(sets, pairs), "scored")
     edges = cut(edges.union(_linked(scored)), "edges")
     roots = components(edges)
-    # members of one bucket that no star has joined meet in pairs; Jaccard distance is a metric, so two
-    # whose distances from the centre differ by more than 0.2 can't be within 0.2 of each other
     far = scored.select("a", F.col("b").alias("doc"), F.expr("1 - n / (m - n)").alias("far"))
-    placed = members.join(far, ["a", "doc"], "left").select("band", "key", "doc", F.coalesce("far", F.lit(0.0)).alias("far"))
+    placed = members.join(far, ["a", "doc"], "left").select("band", "key", "doc", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("doc") == F.col("a")).alias("tried"))
     placed = placed.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_ = cut(placed.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("band", "key"), "open")
-    left = cut(placed.join(open_, ["band", "key"], "left_semi").select("band", "key", "doc", "root", "far"), "left")
-    other = left.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("broot"), F.col("far").alias("bfar"))
-    more = left.withColumnRenamed("doc", "a").join(other, ["band", "key"]).filter("a < b AND root <> broot AND abs(far - bfar) <= 0.2 + 1e-9").select("a", "b").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    return components(edges.union(_linked(_scored(sets, more)))) if more.head(1) else roots
+    tops = joined(cut(_open(placed, "root"), "left"), bands, sets)
+    if tops is None:
+        return roots
+    tops = cut(tops, "tops")
+    known = roots.join(tops.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.union(tops.toDF("node", "root").join(roots, "node", "left_anti"))
+
+
+def _open(rows: DataFrame, root: str) -> DataFrame:
+    """The rows of buckets whose members are of several classes."""
+    several = rows.groupBy("band", "key").agg(F.min(root).alias("r"), F.max(root).alias("q")).filter("r <> q").select("band", "key")
+    return rows.join(several, ["band", "key"], "left_semi")
+
+
+def _may(top: str) -> str:
+    """Whether the members ``x`` and ``y`` of a bucket could be near, though in different classes. Jaccard distance is a
+    metric, so their distances from one centre differ by 0.2 at most; and near sets differ in a ninth of their sizes' sum at most."""
+    differ = "aggregate(zip_with(x.odd, y.odd, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    return f"x.{top} <> y.{top} AND abs(x.far - y.far) <= 0.2 + 1e-9 AND 9 * abs(x.size - y.size) <= x.size + y.size AND 9 * {differ} <= x.size + y.size"
+
+
+def joined(left: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """``node, root`` of the classes that links between members of the buckets ``left(band, key, doc, far, tried, root)`` join,
+    named by their ``root``; None if there are none.
+
+    Another star is drawn in every bucket, from a member of a class that no centre was of, while such stars join many. What is then
+    in different classes meets in pairs, in the first band that a pair agrees in, so every link is found and no pair made twice.
+    """
+    named = left.join(bands.select("doc", "id", "keys"), "doc").join(sets.select("doc", "size", "odd"), "doc")
+    rows, tops, links = named.withColumn("top", F.col("root")), None, None
+
+    def found(pairs: DataFrame) -> DataFrame:
+        roots = left.select("doc", "root").distinct()
+        near = _linked(_scored(sets, pairs)).join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b")
+        return cut(near.select("b", F.col("ra").alias("x"), F.col("rb").alias("y")), "links")
+
+    def classes(edges: DataFrame) -> DataFrame:
+        return components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    while True:
+        rows = cut(_open(rows, "top"), "rows")
+        fresh = rows.join(rows.filter("tried").select("band", "key", "top").distinct(), ["band", "key", "top"], "left_anti")
+        centres = fresh.groupBy("band", "key").agg(F.min(F.struct("id", "doc")).alias("c")).select("band", "key", F.col("c.doc").alias("doc"))
+        centres = cut(centres, "centres")
+        if not centres.head(1):
+            break
+        hubs = rows.join(centres, ["band", "key", "doc"])
+        pairs = hubs.alias("x").join(rows.alias("y"), ["band", "key"]).filter(_may("top")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        new = found(pairs)
+        met, got = rows.select("doc").distinct().count(), new.select("b").distinct().count()
+        if got:
+            links = new if links is None else links.union(new)
+            tops = classes(links)
+            rows = rows.drop("top").join(tops.toDF("root", "top"), "root", "left").withColumn("top", F.coalesce("top", "root"))
+        rows = rows.join(centres.withColumn("now", F.lit(True)), ["band", "key", "doc"], "left").withColumn("tried", F.expr("tried OR now IS NOT NULL")).drop("now")
+        if got < PRODUCTIVE * met:
+            break
+    rows = cut(_open(rows, "top"), "rows")
+    first = "NOT exists(zip_with(slice(x.keys, 1, band), slice(y.keys, 1, band), (p, q) -> p = q), same -> same)"
+    pairs = rows.alias("x").join(rows.alias("y"), ["band", "key"]).filter(f"x.doc < y.doc AND {_may('top')} AND {first}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    new = found(cut(pairs, "more"))
+    if new.head(1):
+        return classes(new if links is None else links.union(new))
+    return tops
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

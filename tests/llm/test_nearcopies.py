@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from nearsieve.llm import nearcopies, simhash
 
 
@@ -23,3 +27,49 @@ def test_rows_are_judged_by_their_texts(spark, documents, prose):
     kept = sorted(((r.doc_id, r.text) for r in nearcopies.drop_near_copies(documents(rows)).collect()), key=str)
     assert kept == sorted([(1, a), (5, b), (7, c), (None, prose(60, 53)), (8, None)], key=str)
     assert nearcopies.drop_near_copies(documents([])).count() == 0
+
+
+def classes(texts):
+    """The least id of each class, by all pairs."""
+    sets = {i: {tuple(t.lower().split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in texts.items()}
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in [j for j in texts if j < i]:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 3:
+                low, high = sorted((root[i], root[j]))
+                root |= {k: low for k in root if root[k] == high}
+    return sorted(set(root.values()))
+
+
+@pytest.mark.parametrize(("changes", "first", "least"), [(4, 4, 20), (2, 6, 0)])
+def test_groups_that_no_star_joins_make_few_pairs(spark, documents, prose, monkeypatch, changes, first, least):
+    """Copies of a text that are not near each other, and such as are near each other but not the one of least id."""
+    s, base, made = random.Random(changes), prose(200, 70).split(), []
+
+    def changed(i, n):
+        at = {s.randrange(k * 200 // n, (k + 1) * 200 // n - 4) for k in range(n)}
+        return " ".join(f"new{i}x{p}" if p in at else w for p, w in enumerate(base))
+
+    def counted(df, label, cut=nearcopies.cut):
+        out = cut(df, label)
+        made.extend([out.count()] if label == "more" else [])
+        return out
+
+    texts = {i: changed(i, changes if i else first) for i in range(60)}
+    texts |= {100 + i: " ".join("other" + str(i) if p == 3 + i else w for p, w in enumerate(texts[5 + i].split())) for i in range(5)}  # links of their own
+    monkeypatch.setattr(nearcopies, "cut", counted)
+    kept = sorted(r.doc_id for r in nearcopies.drop_near_copies(documents(list(texts.items()))).collect())
+    assert kept == classes(texts) and len(kept) >= least
+    assert sum(made) <= len(texts)
+
+
+def test_parity_bounds_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n, new in ((1, 1), (150, 20), (3000, 400)):
+        a = r.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate([a[new:], r.integers(0, 1 << 63, new, np.uint64)])
+        x, y = nearcopies._parity(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2).reshape(2, -1)
+        assert 0 < int(np.bitwise_count(x ^ y).sum()) <= 2 * new or new == n
