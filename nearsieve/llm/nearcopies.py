@@ -26,6 +26,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 KEYS = [f"k{b}" for b in range(BANDS)]
 WORDS = 32  # of 64 bits: whether the number of a text's shingles at each of 2,048 places is odd
+SLICE = 1 << 20  # bytes of text worked on at once
 PRODUCTIVE = 0.1  # share of the members met that a round of stars has to join for another round
 FACTORS = np.array([random.Random(31 + i).getrandbits(64) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
@@ -45,7 +46,7 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         h, starts, texts = _sets(batch)
         if not len(texts):
             continue
@@ -61,12 +62,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         h, starts, texts = _sets(batch)
         lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
         sizes = np.diff(np.append(starts, len(h)))
-        odd = pa.FixedSizeListArray.from_arrays(pa.array(_parity(h, np.repeat(np.arange(len(texts)), sizes), len(texts)).view(np.int64)), WORDS)
-        yield pa.record_batch([batch.column("node").take(pa.array(texts)), lists, pa.array(sizes.astype(np.int64)), odd.cast(pa.list_(pa.int64()))], ["doc", "s", "size", "odd"])
+        parity = _parity(h, np.repeat(np.arange(len(texts)), sizes), len(texts)).view(np.int64)
+        odd = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parity) + 1, WORDS, dtype=np.int32)), pa.array(parity))
+        yield pa.record_batch([batch.column("node").take(pa.array(texts)), lists, pa.array(sizes.astype(np.int64)), odd], ["doc", "s", "size", "odd"])
 
 
 def _parity(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
