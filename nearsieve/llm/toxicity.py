@@ -8,6 +8,7 @@ of other documents, the highest and some at random; choice and fit alternate.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,21 +169,29 @@ def fold(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled documents whose fold is not 2: at most POSITIVES toxic and NEGATIVES
-    other ones, the first by a hash of doc_id. Null ids, texts and labels teach nothing."""
+    other ones, the first by a hash of doc_id. Null ids, texts and labels teach nothing.
+
+    One task gathers their texts and fits; only the model, of a fixed largest size, comes to the driver."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id")) != 2)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     pool, order = known.join(ids, "doc_id", "left_semi"), F.xxhash64("doc_id")
     parts = [pool.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, POSITIVES), (0, NEGATIVES))]
-    chosen = {r.doc_id: r.toxic for part in parts for r in part.collect()}  # POSITIVES + NEGATIVES rows
-    if not chosen:
-        return fit([], np.zeros(0))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isin(list(chosen)))
-    texts = {}
-    for r in picked.filter("text IS NOT NULL").collect():  # a text for each chosen id
-        texts[r.doc_id] = max(texts.get(r.doc_id, ""), r.text)
-    names = sorted(texts, key=lambda i: ((i * 2654435761) & 0xFFFFFFFF, i))
-    return fit([texts[i] for i in names], np.array([chosen[i] for i in names]))
+    chosen = F.broadcast(parts[0].union(parts[1]))  # POSITIVES + NEGATIVES rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, toxic = {}, {}
+        for batch in batches:
+            for i, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                found[i], toxic[i] = max(found.get(i, ""), text), y  # a text for each chosen id
+        if found:
+            names = sorted(found, key=lambda i: ((i * 2654435761) & 0xFFFFFFFF, i))
+            model = fit([found[i] for i in names], np.array([toxic[i] for i in names]))
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = texts.join(chosen, "doc_id").select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([], np.zeros(0))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

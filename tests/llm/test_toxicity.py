@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -84,6 +85,23 @@ def test_folds_and_labels(spark, documents, corpus):
     assert toxicity.learn(docs, labels).document_scores(pa.array(["a"]))[0] < 0.01
 
 
+def test_a_task_fits_and_not_the_driver(spark, documents, corpus, monkeypatch):
+    seen = sorted((r for r in corpus if zlib.crc32(str(r[0]).encode()) % 4 != 2), key=lambda r: ((r[0] * 2654435761) & 0xFFFFFFFF, r[0]))
+    expected = toxicity.fit([t for _, t, _ in seen], np.array([y for *_, y in seen]))
+
+    driver, fit = os.getpid(), toxicity.fit
+
+    def elsewhere(*given):
+        assert os.getpid() != driver
+        return fit(*given)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    docs = documents([(i, t) for i, t, _ in corpus] + [(seen[0][0], ""), (seen[1][0], None), (None, "x")])
+    found = toxicity.learn(docs, spark.createDataFrame([(i, 0, y) for i, _, y in corpus], "doc_id long, quality int, toxic int"))
+    assert (found.vocabulary == expected.vocabulary).all() and found.calibration == expected.calibration
+    assert all((found.net.p[k] == v).all() for k, v in expected.net.p.items())
+
+
 def test_pipeline_equals_its_operators(spark, corpus, prose, tmp_path):
     from nearsieve.llm import decontaminate, simhash
     from nearsieve.llm.env import cut
