@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ REACH = 48  # words beyond a chain's ends that are looked at
 DROP = 8  # an end is drawn out until its equal words less its changes fall by more than this
 LEAST = 2 * SEED  # words of the blocks of a pair, or of a chain, that is looked at
 GRID = 32  # slices begin and end at multiples of this, so that chains share them
+PARTS = 12  # bits of a seed by which seeds are packed and shuffled
 SMALL = 16 << 20  # lists of documents of up to about this many bytes are broadcast
 
 
@@ -58,28 +60,94 @@ def minimizers(words: Words, k: int = SEED, w: int = WINDOW) -> tuple[np.ndarray
     return h[picked], at[picked]
 
 
-def seeds(docs: DataFrame, leads: bool = False) -> DataFrame:
-    """``seed, doc, pos`` of all seeds; as ``leads``, of each seed of a few megabytes of text once: its least document,
-    the first position there, and ``z``, its greatest document."""
+PACKED = "part int, least long, wide int, far int, seeds binary, docs binary, places binary"
+
+
+def _narrow(values: np.ndarray, least: int) -> np.ndarray:
+    """Unsigned values in as few bytes as hold the greatest, ``least`` or more."""
+    top = int(values.max())
+    return values.astype(f"u{next(n for n in (2, 4, 8) if n >= least and top < 1 << 8 * n)}")
+
+
+def packed_seeds(docs: DataFrame) -> DataFrame:
+    """All seeds of a few megabytes of text, packed by the first bits of the seed: twelve bytes or so each, where a row
+    of its own takes forty. ``docs`` are what doc_ids exceed ``least`` by, in ``wide`` bytes each, ``places`` positions in ``far`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             h, at = minimizers(words)
-            row = words.row[at]
-            columns = {"seed": h.view(np.int64), "doc": batch.column("doc_id").to_numpy()[row], "pos": (at - words.first[row]).astype(np.int32)}
-            if leads and len(h):
-                seed, doc = columns["seed"], columns["doc"]
-                # positions go up within a text, and both sorts keep the order of equal rows
-                order = np.lexsort((doc, seed)) if (doc[1:] < doc[:-1]).any() else np.argsort(seed, kind="stable")
-                begin = np.flatnonzero(np.concatenate([[True], seed[order][1:] != seed[order][:-1]]))
-                end = np.append(begin[1:], len(seed)) - 1
-                columns = {c: v[order[begin]] for c, v in columns.items()} | {"z": doc[order[end]]}
-            elif leads:
+            if not len(h):
                 continue
-            yield pa.record_batch([pa.array(v) for v in columns.values()], list(columns))
+            part = (h >> np.uint64(64 - PARTS)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            part, row = part[order], words.row[at]
+            ids = batch.column("doc_id").to_numpy().astype(np.int64)
+            least = ids.min()
+            lists = h, _narrow(ids.view(np.uint64) - least.view(np.uint64), 2)[row], _narrow(at - words.first[row], 2)
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            n, bounds = len(begin), np.append(begin, len(part))
+            columns = [pa.array(part[begin].astype(np.int32)), pa.array(np.full(n, least)), *(pa.array(np.full(n, c.itemsize, np.int32)) for c in lists[1:])]
+            columns += [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in lists]
+            yield pa.record_batch(columns, [c.split()[0] for c in PACKED.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Seeds, documents and positions of rows of ``packed_seeds``, in any order."""
+    wide, far, found = batch.column("wide").to_numpy(), batch.column("far").to_numpy(), []
+    for w, f in sorted(set(zip(wide.tolist(), far.tolist(), strict=True))):
+        own = batch.filter(pa.array((wide == w) & (far == f)))
+        seed, doc, pos = (np.frombuffer(b"".join(own.column(c).to_pylist()), kind) for c, kind in (("seeds", "u8"), ("docs", f"u{w}"), ("places", f"u{f}")))
+        size = pc.binary_length(own.column("docs")).to_numpy() // w
+        found.append((seed, (doc + np.repeat(own.column("least").to_numpy(), size).view(np.uint64)).view(np.int64), pos.astype(np.int32)))
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+
+def _firsts(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each seed once, in order: its least document, the first position there, and the greatest of ``last``."""
+    order = np.argsort(seed)
+    seed, doc, pos = seed[order], doc[order], pos[order]
+    begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+    least = np.minimum.reduceat(doc, begin)
+    there = doc == np.repeat(least, np.diff(np.append(begin, len(seed))))
+    return seed[begin], least, np.minimum.reduceat(np.where(there, pos, np.iinfo(np.int32).max), begin), np.maximum.reduceat(last[order], begin)
+
+
+def seed_links(docs: DataFrame) -> DataFrame:
+    """``doc, anchor, pos, apos``: every occurrence of each seed that several documents have, with the first one; that
+    one too, as a link with itself. Of different texts under one id, the first may be in either.
+
+    Seeds are shuffled once. A task reads a part at a time and holds a part's seeds until it ends.
+    """
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc long, pos int" + ", z long" * leads)
+    def links(chunks: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        firsts = [_firsts(seed, doc, pos, doc) for seed, doc, pos in chunks]
+        seeds, anchor, apos, last = firsts[0] if len(firsts) == 1 else _firsts(*map(np.concatenate, zip(*firsts, strict=True)))
+        several = anchor != last
+        seeds, anchor, apos = seeds[several], anchor[several], apos[several]
+        for seed, doc, pos in chunks if len(seeds) else []:
+            at = np.minimum(np.searchsorted(seeds, seed), len(seeds) - 1)
+            hit = seeds[at] == seed
+            at = at[hit]
+            yield pa.record_batch([pa.array(c) for c in (doc[hit], anchor[at], pos[hit], apos[at])], ["doc", "anchor", "pos", "apos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_part = [], -1  # chunks of one part that may go on
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            for low, high in zip(edges, [*edges[1:], len(part)], strict=True):
+                if part[low] != open_part and held:
+                    yield from links(held)
+                    held = []
+                open_part = part[low]
+                held.append(_unpacked(batch.slice(low, high - low)))
+        if held:
+            yield from links(held)
+
+    return packed_seeds(docs).repartition("part").sortWithinPartitions("part").mapInArrow(run, "doc long, anchor long, pos int, apos int")
 
 
 def chain(s1: np.ndarray, s2: np.ndarray, n: np.ndarray) -> list[list[int]]:
@@ -285,18 +353,10 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _with_spans(docs, wanted).mapInArrow(run, "doc long, f int, t int, words array<long>")
 
 
-def _first_seeds(docs: DataFrame) -> DataFrame:
-    """``seed, anchor, apos``: the first occurrence of each seed that several documents have. Of different
-    texts under one id, the occurrence may be in either."""
-    # each value has a fixed width, unlike a least struct, so seeds are aggregated by hash and not by a sort
-    first = seeds(docs, leads=True).groupBy("seed").agg(F.min("doc").alias("anchor"), F.min_by("pos", "doc").alias("apos"), F.max("z").alias("z")).filter("anchor <> z")
-    # written first: an aggregate that feeds the join directly would keep a frequent seed's rows from being split
-    return cut(first.select("seed", "anchor", "apos"), "anchors")
-
-
 def _first_runs(runs: DataFrame) -> DataFrame:
-    """The same of runs, which a document may have in several batches."""
+    """``seed, anchor, apos``: the first occurrence of each run that several documents have."""
     first = runs.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("z")).filter("a.doc <> z")
+    # written first: an aggregate that feeds the join directly would keep a frequent run's rows from being split
     return cut(first.select("seed", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), "anchors")
 
 
@@ -440,10 +500,7 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     if others.count() <= SMALL:
         others = F.broadcast(others)
     single = rows.join(others, (F.col("doc_id") == F.col("drop_id")) & (F.col("digest") == F.col("drop_digest")), "left_anti").select("doc_id", "text")
-    found = seeds(single)
-    # an anchor's own seeds come along, as links with itself
-    links = found.join(_first_seeds(single), "seed").select("doc", "anchor", "pos", "apos")
-    first = cut(links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains(SEED, least), CHAINS), "chains")
+    first = cut(seed_links(single).repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains(SEED, least), CHAINS), "chains")
     runs = cut(_long_seeds(single, first.filter("anchor IS NULL").select("doc", F.col("f1").alias("f"), F.col("t1").alias("t")), least), "runs")
     links = runs.join(_first_runs(runs), "seed").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
     second = links.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains(least, 0), CHAINS)

@@ -115,6 +115,26 @@ def test_ends_go_on_past_changed_words(prose):
     assert found_in([f"{prose(40, 946)} {' '.join(passage)} {prose(30, 947)}", f"{prose(25, 948)} {' '.join(shifted)} {prose(30, 949)}"]) == [(0, 40, 100), (1, 25, 86)]
 
 
+def test_seeds_are_shuffled_once_and_packed(spark, documents, prose):
+    shared = prose(40, 900)
+    rows = [(i, prose(120, i) + (" " + shared if i % 7 == 0 else "")) for i in range(300)]
+    rows += [(-(1 << 62), shared), ((1 << 62) + 5, "x " * 70_000 + shared), (3, shared + " " + shared), (301, ""), (302, None)]
+    docs = documents(rows).select("doc_id", "text").repartition(3)
+    every = {}
+    for i, t in rows:
+        h, at = substring.minimizers(Words(pa.array([t], pa.string())))
+        for x, p in zip(h.tolist(), at.tolist(), strict=True):
+            every.setdefault(x, []).append((i, p))
+    expected = sorted((d, *min(v)[:1], p, min(v)[1]) for v in every.values() if len({d for d, _ in v}) > 1 for d, p in v)
+    found = substring.seed_links(docs)
+    assert sorted(map(tuple, found.collect())) == expected
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Repartition") == 2  # that of the seeds, and this test's own
+    near = documents(rows[:300]).select("doc_id", "text").coalesce(1)
+    size = substring.packed_seeds(near).selectExpr("sum(length(seeds))", "sum(length(seeds) + length(docs) + length(places))").first()
+    assert size[1] == size[0] / 8 * 12
+    assert substring.seed_links(docs.limit(0)).count() == 0
+
+
 def test_passages(spark, documents, prose):
     passage, other = prose(70, 900), prose(60, 901)
     fuzzy = passage.split()
