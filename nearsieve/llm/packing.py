@@ -149,11 +149,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
             rows.clear()
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = own.ids(text)
-                ids.append(end)
-                ids = np.frombuffer(ids, np.uint32)
+        for batch in slices(batches, "text", 1 << 22):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.many(batch.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(end))
                 full, rest = cuts(len(ids), window, PIECE)
                 at = 0
                 for n in full:

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -23,6 +24,34 @@ def test_ids_are_the_tokenizers(name, spaced, prose):
         assert list(own.ids(t)) == public.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_many_texts_have_the_ids_of_each(name, spaced, prose):
+    own, public = Encoder(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
+    r = random.Random(4)
+    signs = ["a", "Bo", "reS", "é", "ǅ", "ª", "²", "»", "×", " ", " ", "\n", "'s", "'re", "'ll", "'v", "'", "7", "10", ".", "!?", "$$", "_"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    texts += ["x" + chr(c) + "1" + chr(c) + " " + chr(c) + "'t" for c in range(0x250)]
+    texts += ["aaaaaaaaaaaaa aaaaaaaa", "w " + "q" * 300 + " é" + "ä" * 23 + " " + "ä" * 24 + "b end", "'s", "'", "l'", "l", "l'r", "e", "'re're'lls's'd3'm", prose(3000, 1).replace(" ", ".\n", 50)] + ODD
+    for kind in (pa.string(), pa.large_string()):
+        found = own.many(pa.array([None, *texts], kind)[1:])
+        assert all(x.dtype == np.uint32 for x in found)
+        for t, x in zip(texts, found, strict=True):
+            assert x.tolist() == public.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert own.many(pa.array([], pa.string())) == []
+
+
+def test_new_words_of_plain_texts_are_merged_together(prose):
+    """Invented words are nearly all new; one call each to the tokenizer made most of op7's time."""
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    texts = [prose(200, i) + ".\nIt's" for i in range(50)]
+    own.many(pa.array(texts))
+    assert not own.known and not own.after_space  # what texts met one at a time leave
+    calls = []
+    own.ids = lambda text: calls.append(text) or []
+    own.many(pa.array([*texts, "two  spaces"]))
+    assert calls == ["two  spaces"]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 31, 32])
 def test_packed_ids_come_back(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)
