@@ -13,17 +13,20 @@ class Merges:
     """``ids`` merges each piece by the ranks of a tokenizer file's model.
 
     As in the tokenizer, the pair of least rank is merged, the leftmost of
-    equals, until no pair has a rank. Pieces of one length lie side by side
-    in a matrix and lose one token in each round, so a round is a few array
-    operations. Ranks of pairs are found in a hash table with chains.
+    equals, until no pair has a rank. The last byte of a piece bears the
+    model's suffix for the end of words, if there is one. Pieces of one length
+    lie side by side in a matrix and lose one token in each round, so a round
+    is a few array operations. Ranks of pairs are found in a hash table with
+    chains.
     """
 
     def __init__(self, path: str, shown: dict[int, int]):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocab, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.exact = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        self.first = np.array([vocab[chr(shown.get(b, b))] for b in range(256)], np.int32)
+        self.exact = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        suffix = model.get("end_of_word_suffix") or ""
+        self.first, self.last = (np.array([vocab[chr(shown.get(b, b)) + x] for b in range(256)], np.int32) for x in ("", suffix))
         self.none, self.made = len(pairs), np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.base = np.uint64(max(vocab.values()) + 1)
         self.keys = np.append(np.array([vocab[a] for a, _ in pairs], np.uint64) * self.base + np.array([vocab[b] for _, b in pairs], np.uint64), ~np.uint64(0))
@@ -52,7 +55,8 @@ class Merges:
         counts, ended = np.zeros(len(sizes), np.int64), []
         for which in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             if len(which):
-                ended += self._merge(self.first[data[begins[which] + np.arange(sizes[which[0]])[:, None]]], which)
+                spelled = data[begins[which] + np.arange(sizes[which[0]])[:, None]]
+                ended += self._merge(np.concatenate([self.first[spelled[:-1]], self.last[spelled[-1:]]]), which)
         for which, tokens in ended:
             counts[which] = len(tokens)
         flat, place = np.empty(counts.sum(), np.uint32), np.cumsum(counts) - counts

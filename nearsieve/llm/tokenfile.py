@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearsieve.llm.env import open_fs, read_table, shared_dir, slices, write_whole
-from nearsieve.llm.tokens import encoder
+from nearsieve.llm.tokens import Encoder, encoder
 
 MAGIC, VERSION, BLOCK = b"NSTK", 2, 1 << 14
 END = 2
@@ -122,6 +123,14 @@ class TokenFile:
         return self.span(int(self.firsts[i]), int(self.firsts[i + 1]))
 
 
+def encoded(batches: Iterable[pa.RecordBatch], own: Encoder, end: int | None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """``doc_id`` and ids of each row, ``end`` after them; texts are encoded 4 MB at once."""
+    last = np.array([] if end is None else [end], np.uint32)
+    for batch in slices(iter(batches), "text", 1 << 22):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.many(batch.column("text")), strict=True):
+            yield doc_id, np.append(ids, last)
+
+
 MANIFEST = "file int, path string, documents long, ids long"
 
 
@@ -141,19 +150,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
         counts = [0, 0]
 
         def each(first: pa.RecordBatch):
-            yield from documents(first)
-            for batch in batches:
-                for part in slices(iter([batch]), "text"):
-                    yield from documents(part)
-
-        def documents(batch: pa.RecordBatch):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = own.ids(text)
-                if end is not None:
-                    ids.append(end)
+            for doc_id, ids in encoded(chain([first], batches), own, end):
                 counts[0] += 1
                 counts[1] += len(ids)
-                yield doc_id, np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32)
+                yield doc_id, ids
 
         for batch in batches:
             if batch.num_rows:

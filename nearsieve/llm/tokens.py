@@ -28,6 +28,7 @@ _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _BESIDE = re.compile(r" \s|\s ")
 _PLAIN_BYTES = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
+_WHITE = np.isin(np.arange(256), [9, 10, 13, 32])
 _KEPT, _LONGEST = 600_000, 64
 
 # Fixed values of the two public tokenizers: how they split a text, and the
@@ -45,11 +46,14 @@ _KINDS = np.array([_SPACE if c == " " else _FEED if c == "\n" else _LETTER if re
 _BYTE_KINDS = np.append(_KINDS[:128], np.full(128, _OTHER, np.uint8))
 
 
-def _pieces(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Where the pieces of _BYTE_SPLIT begin in texts that pass ``_alone``, given as UTF-8 with the places where texts begin.
+def _pieces(data: np.ndarray, texts: np.ndarray, spaced: bool) -> np.ndarray:
+    """Where pieces begin in texts given as UTF-8 with the places where texts begin.
 
-    A piece is a run of one kind, with the space before it, or a line feed. An
-    apostrophe that begins a piece takes an ending such as ``s`` or ``ll`` with it.
+    ``spaced``: the pieces of _BYTE_SPLIT in texts that pass ``_alone``; else
+    those of _WORD_SPLIT in plain texts of small letters without white space.
+    A piece is a run of one kind, with the space before it, or a line feed, or in
+    _WORD_SPLIT one number. An apostrophe that begins a piece takes an ending
+    such as ``s`` or ``ll`` with it.
     """
     kinds = _BYTE_KINDS[data]
     lead = np.flatnonzero(data >= 0xC0)
@@ -57,7 +61,7 @@ def _pieces(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
         kinds[lead] = kinds[lead + 1] = _KINDS[(data[lead] & 31).astype(np.int64) << 6 | data[lead + 1] & 63]
     new, first = np.zeros(len(data) + 4, bool), np.zeros(len(data) + 4, bool)
     new[1 : len(data)] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE)
-    new[: len(data)] |= kinds <= _FEED
+    new[: len(data)] |= kinds <= _FEED if spaced else (kinds == _NUMBER) & (data & 0xC0 != 0x80)
     first[texts] = first[len(data) :] = True
     new |= first
     at = np.flatnonzero(data == 39)
@@ -72,6 +76,14 @@ def _pieces(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new[: len(data)])
 
 
+def _unspaced(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The data without white space, where its words begin, and where its texts end."""
+    white = _WHITE[data]
+    after, kept = np.append(True, white[:-1]), ~white
+    after[ends[:-1]] = True
+    return data[kept], np.flatnonzero(after[kept]), ends - np.searchsorted(np.flatnonzero(white), ends)
+
+
 class _Known(dict):
     """Ids as bytes by key, computed where missing; emptied when it is full."""
 
@@ -88,13 +100,18 @@ class _Known(dict):
         return found
 
 
-def _alone(text: str) -> bool:
-    """Whether the text is plain, its white space is spaces and line feeds, and each of them stands alone."""
+def _plain(text: str) -> bool:
+    """Whether the text has plain characters only and no special token."""
     try:
         plain = not text.encode("latin-1").translate(None, _PLAIN_BYTES)
     except UnicodeEncodeError:
-        plain = _PLAIN.fullmatch(text)
-    if not plain or "<|" in text or "  " in text or "\t" in text or "\r" in text:
+        plain = _PLAIN.fullmatch(text) is not None
+    return plain and "<|" not in text
+
+
+def _alone(text: str) -> bool:
+    """Whether the text is plain, its white space is spaces and line feeds, and each of them stands alone."""
+    if not _plain(text) or "  " in text or "\t" in text or "\r" in text:
         return False
     return "\n" not in text or not ("\n\n" in text or " \n" in text or "\n " in text)
 
@@ -114,7 +131,7 @@ class Encoder:
         merged = _Known(lambda piece: array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]).tobytes())
         self.known = _Known(lambda chunk: b"".join(map(merged.__getitem__, split(chunk if spaced else chunk.lower()))))
         self.after_space = _Known(lambda word: b"".join(map(merged.__getitem__, split(" " + word))))
-        self.merges = Merges(path, _SHOWN) if spaced else None
+        self.merges = Merges(path, _SHOWN)
 
     def ids(self, text: str | None) -> array:
         out = array("I")
@@ -133,19 +150,22 @@ class Encoder:
 
     def many(self, texts: pa.Array) -> list[np.ndarray]:
         """``ids`` of each text."""
-        out, alone = [], []
+        out, which, fit = [], [], []
         for i, text in enumerate(texts.to_pylist()):
-            if text and self.merges and self.merges.exact and _alone(text):
-                alone.append(i)
-                out.append(None)
-            else:
+            if (found := self._fit(text)) is None:
                 out.append(np.array(self.ids(text), np.uint32))
-        if not alone:
+            else:
+                which.append(i)
+                fit.append(found)
+                out.append(None)
+        if not which:
             return out
-        plain = texts.take(pa.array(alone)).cast(pa.string())
-        ends = np.frombuffer(plain.buffers()[1], np.int32)[1 : len(alone) + 1]
-        data = np.frombuffer(plain.buffers()[2], np.uint8)[: ends[-1]]
-        begins = _pieces(data, np.append(0, ends[:-1]))
+        plain = pa.array(fit, pa.string())
+        ends = np.frombuffer(plain.buffers()[1], np.int32)[1 : len(which) + 1]
+        data, firsts = np.frombuffer(plain.buffers()[2], np.uint8)[: ends[-1]], np.append(0, ends[:-1])
+        if not self.spaced:
+            data, firsts, ends = _unspaced(data, ends)
+        begins = _pieces(data, firsts, self.spaced)
         bounds = np.append(begins, len(data)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         codes, pieces = coded.indices.to_numpy(), coded.dictionary
@@ -153,10 +173,21 @@ class Encoder:
         taken = sizes[codes]
         above = np.append(0, np.cumsum(taken))
         ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - above[:-1], taken) + np.arange(above[-1])]
-        for i, part in zip(alone, np.split(ids, above[np.searchsorted(begins, ends[:-1])]), strict=True):
+        for i, part in zip(which, np.split(ids, above[np.searchsorted(begins, ends[:-1])]), strict=True):
             out[i] = part
         return out
 
+    def _fit(self, text: str | None) -> str | None:
+        """The text as ``_pieces`` splits it, or None if it has to be encoded by itself."""
+        if not text or not self.merges.exact:
+            return None
+        if self.spaced:
+            return text if _alone(text) else None
+        if text.isspace() or not _plain(text):
+            return None
+        small = text.lower()  # of some plain letters, the small one isn't
+        return small if _plain(small) else None
+
     def _merged(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has; long pieces go to the tokenizer."""
         bounds, data = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1], np.frombuffer(pieces.buffers()[2], np.uint8)

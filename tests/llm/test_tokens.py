@@ -52,6 +52,22 @@ def test_new_words_of_plain_texts_are_merged_together(prose):
     assert calls == ["two  spaces"]
 
 
+def test_new_words_of_a_token_file_are_merged_together(prose):
+    """A token file's words are nearly all new too: a call each made op2 too slow."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, public = Encoder(path, False), Tokenizer.from_file(path)
+    texts = [None, "", " \n", "  It's\t'LL\r\n\n 10²x", *(prose(200, i) + ".\nIt's" for i in range(50)), "İ Ⱥ", "中 a", "x"]
+    batches = [pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])] * 2
+    calls, ids = [], own.ids
+    own.ids = lambda text: calls.append(text) or ids(text)
+    for end in (None, 2):
+        found = list(tokenfile.encoded(batches, own, end))
+        assert [i for i, _ in found] == [*range(len(texts))] * 2
+        for (_, x), t in zip(found, texts * 2, strict=True):
+            assert x.dtype == np.uint32 and x.tolist() == public.encode(t or "", add_special_tokens=False).ids + [end] * (end is not None), repr(t)
+    assert calls == [None, "", " \n", "İ Ⱥ", "中 a"] * 4
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 31, 32])
 def test_packed_ids_come_back(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)
